@@ -1 +1,8 @@
 """Operations of a training-data pipeline. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of these modules travel to the workers by value: the package needn't be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

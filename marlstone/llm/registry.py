@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import quality
+from marlstone.llm import mixing, packing, quality, secrets, substring, tokens
 
-QUERIES = {"op2_quality_rules": quality.op2_quality_rules}
-ORACLES = {"op2_quality_rules": quality.ORACLE}
+QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_secret_scans": secrets.op8_secret_scans,
+    "op9_substring_dedup": substring.op9_substring_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
+}
+ORACLES = {"op2_quality_rules": quality.ORACLE, "op5_mix_sources": mixing.ORACLE, "op9_substring_dedup": substring.ORACLE}
