@@ -33,7 +33,7 @@ WINDOW = 13
 #: Prefix lengths before the whole window, and hash buckets of each length's counts.
 PREFIXES, BUCKETS = (1, 2, 4), 1 << 16
 #: Suffixes of a group, and of a task's buffer.
-GROUP, BUFFER = 500_000, 2_000_000
+GROUP, BUFFER = 500_000, 500_000
 #: The most bytes of removed spans that are broadcast; more are joined by a shuffle.
 BROADCAST = 64 << 20
 
