@@ -11,6 +11,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm.scratch import stash
 from marlstone.llm.text import words
@@ -20,7 +21,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, EPOCHS, CELL = 150, 2, 4096
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def count_words(text: pa.Array) -> pa.Array:
     """Words of texts given as binary; bytes.split() cuts at the six ASCII spaces exactly."""
     return pa.array([len(x.split()) if x else 0 for x in text.to_pylist()], pa.int64())
