@@ -12,8 +12,8 @@ Windows. A region first compares sketches: counts of a set's n-grams in CELLS bu
 exceeds the symmetric difference of the sets. Points without a possible partner leave, mostly those which share a
 passage only. The others' sets are read from their texts and the region is solved (`solve`): its pivot links all
 within r; by the triangle inequality a point at distance d from the pivot can only link to points from d - r to
-d + r, so only points outside r and the boundary within r of them go on with the next pivot, recursively. N-grams
-that no other point of the region has are dropped before each step, and points with too few left.
+d + r, so only points that have points of another part of the region in this window go on with the next pivot,
+recursively. N-grams that no other point of the region has are dropped before each step, and points with too few left.
 
 Regions of more than REGION points or SHINGLES n-grams aren't brought together. Their distances to the pivot come
 from a join that can be split, those within r are linked, and what the window leaves is dealt to blocks, each pair
@@ -145,41 +145,37 @@ def solve(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     n = np.array([len(s) for s in sets], np.int64)
     value = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), n)
-    _, value = np.unique(value, return_inverse=True)
-    here, links = np.ones(len(sets), bool), []
-    outer = np.ones(len(sets), bool)  # still to be pivots; the others are boundary
-    while outer.any():
+    value = np.unique(value, return_inverse=True)[1]
+    here, part, links = np.ones(len(sets), bool), np.arange(len(sets)), []
+    r = 1 - num / den + 1e-9
+    while True:
         while True:  # what nobody else here has can't be common
-            shared = np.bincount(value, minlength=1)[value] > 1
-            value, owner = value[shared], owner[shared]
-            left = np.bincount(owner, minlength=len(sets))
-            gone = here & (left * den < num * n)
+            keep = here[owner] & (np.bincount(value[here[owner]], minlength=int(value.max(initial=0)) + 1)[value] > 1)
+            value, owner = value[keep], owner[keep]
+            gone = here & (np.bincount(owner, minlength=len(sets)) * den < num * n)
             if not gone.any():
                 break
             here &= ~gone
-            keep = here[owner]
-            value, owner = value[keep], owner[keep]
-        outer &= here
-        if not outer.any():
-            break
-        pivot = int(np.flatnonzero(outer)[0])
-        mine = np.zeros(int(value.max()) + 1 if len(value) else 1, bool)
+        parts, members = np.unique(part[here], return_counts=True)
+        if len(parts) < 2:  # who is joined already needs no comparing
+            return links
+        pivot = int(np.flatnonzero(here & (part == parts[members.argmin()]))[0])
+        mine = np.zeros(int(value.max(initial=0)) + 1, bool)
         mine[value[owner == pivot]] = True
         common = np.bincount(owner[mine[value]], minlength=len(sets))
         union = n + n[pivot] - common
-        linked = here & (common * den >= num * union)
-        links += [(pivot, int(i)) for i in np.flatnonzero(linked) if i != pivot]
-        d = 1 - common / union
-        outer &= ~linked
-        if not outer.any():
-            break
-        low, high = d[outer].min(), d[outer].max()
-        r = 1 - num / den + 1e-9
-        here &= outer | ((d >= low - r) & (d <= high + r))
+        for i in np.flatnonzero(here & (common * den >= num * union)):
+            if part[i] != part[pivot]:
+                links.append((pivot, int(i)))
+                part[part == part[i]] = part[pivot]
         here[pivot] = False  # it has met everyone
-        keep = here[owner]
-        value, owner = value[keep], owner[keep]
-    return links
+        at = np.flatnonzero(here)
+        d = 1 - common[at] / union[at]
+        order = np.argsort(d, kind="stable")
+        at, d = at[order], d[order]
+        run = np.cumsum(np.concatenate(([0], np.diff(part[at]) != 0))) if len(at) else at
+        low, high = np.searchsorted(d, d - r, "left"), np.searchsorted(d, d + r, "right")
+        here[at[run[low] == run[high - 1]]] = False  # only its own part within the window
 
 
 def _solved(num: int, den: int):
