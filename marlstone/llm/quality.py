@@ -22,8 +22,8 @@ from marlstone.llm.text import bucket, let, n_words, shifted, words
 FEATURES = {
     "word_len": ("word_chars", 100, "n_words", 60, True),
     "symbols": ("n_symbols", 10_000, "word_chars", 150, False),
-    "dup_lines": ("n_dup_lines", 10_000, "n_lines", 1000, False),
-    "repeats": ("n_repeat_words", 10_000, "n_words", 500, False),
+    "dup_lines": ("n_dup_lines", 10_000, "n_lines", 1500, False),
+    "repeats": ("n_repeat_words", 10_000, "n_words", 650, False),
 }
 #: Tukey's far-out fences, and the documents a sketch needs to be used.
 K, MIN_DOCS = 3, 200
