@@ -3,11 +3,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from helpers import DATA
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
 
 @pytest.fixture(scope="session")
@@ -27,23 +27,3 @@ def duck():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
-
-
-def plain(v):
-    """A value that compares alike whichever engine it comes from."""
-    if v is None or (isinstance(v, float) and v != v):
-        return "NULL"
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
-        return str(bool(v))
-    if isinstance(v, float) or type(v).__name__.startswith("float"):
-        return f"{float(v):.6g}"
-    return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
-
-
-def same_rows(df, relation) -> None:
-    """A Spark frame and a DuckDB relation hold the same columns and rows, in any order."""
-    a, b = df.toPandas(), relation.df()
-    names = sorted(a.columns)
-    assert names == sorted(b.columns)
-    rows = lambda x: sorted(tuple(map(plain, r)) for r in x[names].astype(object).itertuples(index=False))
-    assert rows(a) == rows(b)

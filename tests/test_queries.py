@@ -1,7 +1,7 @@
 """Every registered query of the engine against its SQL."""
 
 import pytest
-from conftest import DATA, same_rows
+from helpers import DATA, same_rows
 
 from marlstone.functions.media import path_vector
 from marlstone.queries import ORACLES, QUERIES
