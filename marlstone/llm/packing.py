@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import bisect
 import random
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +39,25 @@ Bins = list[list[int]]
 # ---- pieces ----
 
 
+#: Latin letters that fold to one letter each and that no normalisation changes, and a mark that may follow.
+LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([.,;:!?]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The usual letters for bytes in byte-level vocabularies: visible Latin-1 for itself, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
 class Words:
-    """Ids of words between ASCII spaces under a tokenizer that never joins anything across white space, as bytes."""
+    """Ids of words between ASCII spaces under a tokenizer that never joins anything across white space, as bytes.
+
+    Known words stand in two generations: when the young one is full it becomes the old one, and words that are met
+    again come back, so frequent words stay. Words of Latin letters, with a mark after them or not, go to the
+    tokenizer's merges directly, if some samples show that it folds and parts them as this does; others go the whole way.
+    """
 
-    MOST, LONGEST = 300_000, 64
+    MOST, LONGEST = 350_000, 64
 
     def __init__(self, path: str):
         import os
@@ -49,22 +66,52 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks = {c: self._whole([c])[0] for c in ".,;:!?"}
+        samples = ["Abc", "straße", "Œuvre", "ÉTÉ", "niño", "thththat", "x", "ÿ", "a" * 70]
+        self.direct = all(self._whole([f"{w}{c}"])[0] == self._latin(w.lower()) + self.marks.get(c, b"") for w in samples for c in ["", *self.marks])
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _latin(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        young, old, rest = self.young, self.old, []
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+                continue
+            text = w.decode("utf-8", "replace")
+            m = LATIN.fullmatch(text) if self.direct else None
+            if not m:
+                rest.append((w, text))
+                continue
+            bare = m[1].lower()
+            key = bare.encode()
+            ids = young.get(key) or old.get(key) or self._latin(bare)
+            young[key] = ids
+            young[w] = ids + self.marks[m[2]] if m[2] else ids
+        for a in range(0, len(rest), 4096):
+            part = rest[a : a + 4096]
+            young.update(zip([w for w, _ in part], self._whole([t for _, t in part]), strict=True))
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(x or b"").split() for x in texts]
-        known = self.known
-        if len(known) > self.MOST:
-            known.clear()
-        new = list({w for ws in split for w in ws if w not in known})
-        local: dict[bytes, bytes] = {}  # long words are forgotten after the batch
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                (known if len(w) <= self.LONGEST else local)[w] = np.array(e.ids, "<u4").tobytes()
-        if not local:
-            return [b"".join(map(known.__getitem__, ws)) for ws in split]
-        return [b"".join(known[w] if w in known else local[w] for w in ws) for ws in split]
+        if len(self.young) > self.MOST:
+            self.old, self.young = self.young, {}
+        words = set().union(*split)
+        self._learn(words - self.young.keys())
+        out = [b"".join(map(self.young.__getitem__, ws)) for ws in split]
+        for w in [w for w in words if len(w) > self.LONGEST]:
+            self.young.pop(w, None)
+            self.young.pop(w.lower(), None)
+        return out
 
 
 def cut(ids: bytes, limit: int) -> Iterator[tuple[int, int, bytes]]:
