@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from marlstone.llm.worker import kept
 
 #: An odd 64-bit multiplier for sequences, and the words whose hashes a worker keeps.
-MULTIPLIER, CACHE = 0x9E3779B97F4A7C15, 500_000
+MULTIPLIER, CACHE = 0x9E3779B97F4A7C15, 250_000
 
 
 class _Cache(dict):

@@ -261,7 +261,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # safe from names that clash with ours
     name = dict(zip(docs.columns, plain.columns, strict=True))
-    spans = stash(repeated_spans(plain, name[key], name[text], window, **options), "repeats")
+    # rows that repeat can come from several buffers; what goes depends on the id and the words alone, so they are equal
+    spans = stash(repeated_spans(plain, name[key], name[text], window, **options).dropDuplicates(["_id", "_text"]), "repeats")
     size = spans.agg(F.sum(F.size("_removed") * 4 + 40)).first()[0] or 0
     right = F.broadcast(spans) if size <= BROADCAST else spans
     on = plain[name[key]].cast("long").eqNullSafe(spans["_id"]) & (F.xxhash64(plain[name[text]]) == spans["_text"])
