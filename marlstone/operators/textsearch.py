@@ -47,6 +47,7 @@ class TextIndex:
 
     idf: DataFrame
     postings: DataFrame
+    stored: bool = False  # whether reading a few rows of idf is cheap
 
     @staticmethod
     def build(docs: DataFrame, key: str, column: str) -> TextIndex:
@@ -62,10 +63,10 @@ class TextIndex:
 
     @staticmethod
     def read(spark, path: str) -> TextIndex:
-        return TextIndex(spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/postings"))
+        return TextIndex(spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/postings"), True)
 
     def cached(self) -> TextIndex:
-        return TextIndex(self.idf.cache(), self.postings.cache())
+        return TextIndex(self.idf.cache(), self.postings.cache(), True)
 
     def scores(self, query: str) -> DataFrame:
         """Rows doc, similarity of all documents that share a weighted term with the query."""
@@ -73,6 +74,14 @@ class TextIndex:
         if not counts:
             return self.postings.where("false").select("doc", F.lit(0.0).alias("similarity"))
         terms = sorted(counts)
+        if self.stored:  # the weights of the query's terms, at most one row each, come to the driver: one small job instead of two broadcasts
+            weight = {r["term"]: counts[r["term"]] * r["idf"] for r in self.idf.where(F.col("term").isin(terms)).select("term", "idf").collect()}
+            size = sum(x * x for x in weight.values()) ** 0.5
+            if not weight:
+                return self.postings.where("false").select("doc", F.lit(0.0).alias("similarity"))
+            share = F.create_map(*(F.lit(x) for t, w in sorted(weight.items()) for x in (t, w / size)))
+            hits = self.postings.where(F.col("term").isin(sorted(weight)))
+            return hits.groupBy("doc").agg(F.sum(F.col("weight") * share[F.col("term")]).alias("similarity"))
         asked = F.create_map(*(F.lit(x) for t in terms for x in (t, float(counts[t]))))
         # a row per term of the query: bounded by what the user typed
         q = self.idf.where(F.col("term").isin(terms)).select("term", (asked[F.col("term")] * F.col("idf")).alias("wq"))
