@@ -48,7 +48,17 @@ def blocks_of(dims: int, block: int = BLOCK) -> list[tuple[int, int, float]]:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+    """Vectors of length 1; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    v = vectors / np.abs(vectors).max(axis=1)[:, None]
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _matrix(data: list[bytes], dims: int) -> np.ndarray:
+    """Vectors sent in single or double precision."""
+    out = np.empty((len(data), dims))
+    for i, x in enumerate(data):
+        out[i] = np.frombuffer(x, np.float32 if len(x) == 4 * dims else np.float64)
+    return out
 
 
 def _cells(cosine: float, block: int):
@@ -67,13 +77,15 @@ def _cells(cosine: float, block: int):
                 if not good.any():
                     continue
                 ids = np.array([i for i, _ in rows], np.int64)[good]
-                raw = raw[good] / scale[good][:, None]  # so that squares neither overflow nor vanish
+                raw = raw[good]
                 turned = unit(raw) @ rotation(dims)
+                short = raw.astype(np.float32)
+                sent = short if (short == raw).all() else raw  # single precision where that loses nothing
                 for k, (a, b, share) in enumerate(blocks_of(dims, block)):
                     width = np.sqrt((2 - 2 * cosine) * share) + 1e-9
                     cell = np.floor(turned[:, a : a + 2] / width).astype(np.int32)
                     y = cell[:, 1] if b - a > 1 else np.zeros(len(ids), np.int32)
-                    data = [x.tobytes() for x in raw]
+                    data = [x.tobytes() for x in sent]
                     n = len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(n, dims, np.int32)), pa.array(data, pa.binary()), pa.array(np.full(n, k, np.int32)), pa.array(cell[:, 0]), pa.array(y)], names=["id", "dims", "vector", "block", "x", "y"])
 
@@ -104,8 +116,7 @@ def _meet(cosine: float, block: int):
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
         order = np.lexsort((ids, side))
         ids, side = ids[order], side[order]
-        raw = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, dims)[order]
-        whole = unit(raw)
+        whole = unit(_matrix(table.column("vector").to_pylist(), dims)[order])
         turned = whole @ rotation(dims)
         left = np.flatnonzero(side == 0)
         right = left if alone else np.flatnonzero(side == 1)
