@@ -42,8 +42,9 @@ def band(min_sites: int, lg_registers: int = LG_REGISTERS) -> float:
 def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, lg_registers: int = LG_REGISTERS) -> DataFrame:
     """Rows h, first: hashes of lines on min_sites sites or more and the least id of a document with each."""
     rows = _lines(docs, text, docs[key].alias("id"), F.xxhash64(docs[site]).alias("s"))
-    wide = stash(rows.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("h"), "wide")
-    on = stash(rows.join(wide, "h", "left_semi").groupBy("h", "s").agg(F.min("id").alias("id")), "spread")
+    spread = stash(rows.groupBy("h", "s").agg(F.min("id").alias("id")), "spread")  # of a line at most one row per site
+    wide = stash(spread.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("h"), "wide")
+    on = stash(spread.join(wide, "h", "left_semi"), "shared")
     seen = on.groupBy("h").agg(F.hll_sketch_agg("s", F.lit(lg_registers)).alias("k"), F.min("id").alias("first"))
     seen = stash(seen.select("h", "first", F.hll_sketch_estimate("k").alias("n")), "estimates")
     off = band(min_sites, lg_registers)
