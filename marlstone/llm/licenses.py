@@ -18,6 +18,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,6 +216,11 @@ def _ngrams(low: Column) -> Column:
     return F.array_distinct(F.concat(w, two))
 
 
+def _local(spark: SparkSession, **columns: list) -> DataFrame:
+    """A small table that is part of the plan."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def license_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows id, hash (of the text), line, family, probability, confirmed: paragraphs that aren't of class none.
 
@@ -227,7 +233,7 @@ def license_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text")
     grams = line.select("uid", F.explode(_ngrams(F.col("p"))).alias("g"))
 
     k = len(m.classes)
-    weights = spark.createDataFrame([(g, w.tolist()) for g, w in zip(m.features, m.weights, strict=True)], "f string, w array<double>")
+    weights = _local(spark, f=m.features, w=m.weights.tolist())
     scored = grams.join(F.broadcast(weights), F.col("g") == F.col("f")).groupBy("uid").agg(*(F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(k)))
     scored = line.join(scored, "uid", "left")
     scores = F.array(*((F.coalesce(f"s{i}", F.lit(0.0)) + float(m.bias[i])) / m.temperature for i in range(k)))
@@ -237,7 +243,7 @@ def license_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text")
     scored = scored.withColumn("probability", 1 / total).withColumn("family", F.element_at(F.array(*map(F.lit, m.classes)), F.col("at")))
 
     notices = [(f, i, g, len(_pairs(x))) for f, xs in NOTICES.items() for i, x in enumerate(xs) for g in sorted(_pairs(x))]
-    table = spark.createDataFrame(notices, "nf string, ni int, ng string, nn int")
+    table = _local(spark, **dict(zip(("nf", "ni", "ng", "nn"), map(list, zip(*notices, strict=True)), strict=True)))
     share = grams.join(F.broadcast(table), F.col("g") == F.col("ng")).groupBy("uid", "nf", "ni").agg((F.count("*") / F.max("nn")).alias("share"))
     share = share.groupBy("uid", "nf").agg(F.max("share").alias("share")).withColumnRenamed("uid", "u")
     out = scored.join(share, (F.col("uid") == F.col("u")) & (F.col("family") == F.col("nf")), "left")
