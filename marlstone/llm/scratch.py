@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -21,25 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone already
-        pass
+def _root(spark: SparkSession) -> str:
+    """This application's own folder there, which goes when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{shared_dir(spark)}/marlstone-{app}-{uuid.uuid4().hex[:8]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_ROOTS[app])
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return _ROOTS[app]
 
 
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The files go when the driver's Python ends.
-    """
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        _ROOTS[app] = f"{shared_dir(spark)}/marlstone-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark, _ROOTS[app])
-    path = f"{_ROOTS[app]}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
