@@ -26,7 +26,7 @@ from marlstone.llm.scratch import stash
 #: Dimensions of a block, vectors of a tile at most (about), and the rotation's seed.
 BLOCK, TILE, SEED = 16, 4096, 7
 #: Rows of distances that are computed at a time.
-ROWS = 512
+ROWS = 256
 #: Own cell, and the half of the neighbours that comes after it.
 OFFSETS = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
 
@@ -55,6 +55,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def _matrix(data: list[bytes], dims: int) -> np.ndarray:
     """Vectors sent in single or double precision."""
+    if len({*map(len, data)}) == 1:
+        return np.frombuffer(b"".join(data), np.float32 if len(data[0]) == 4 * dims else np.float64).reshape(-1, dims).astype(np.float64)
     out = np.empty((len(data), dims))
     for i, x in enumerate(data):
         out[i] = np.frombuffer(x, np.float32 if len(x) == 4 * dims else np.float64)
@@ -125,13 +127,14 @@ def _meet(cosine: float, block: int):
         a, b, share = parts[k]
         links, forest, edges = np.zeros(len(ids), np.int64), _Forest(len(ids)), []
         low = turned[:, a:b].astype(np.float32)
-        square = np.einsum("ij,ij->i", low, low)
+        square, one = np.einsum("ij,ij->i", low, low)[:, None], np.ones((len(low), 1), np.float32)
+        from_left, from_right = np.hstack((-2 * low, square, one)), np.hstack((low, one, square)).T.copy()  # their products are squared distances
         near = limit * share + 1e-5  # for the rounding of 32-bit products; the exact check follows
         for at in range(0, len(left), ROWS):
             some = left[at : at + ROWS]
             for to in range(at if alone else 0, len(right), 8 * ROWS):
                 other = right[to : to + 8 * ROWS]
-                i, j = np.nonzero(square[some][:, None] + square[other][None, :] - 2 * (low[some] @ low[other].T) <= near)
+                i, j = np.divmod(np.flatnonzero(from_left[some] @ from_right[:, other] <= near), len(other))
                 i, j = some[i], other[j]
                 if alone:
                     i, j = i[i < j], j[i < j]
