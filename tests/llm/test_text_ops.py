@@ -271,6 +271,29 @@ def test_secret_layers():
     assert secrets.scan("%25" * 50 + "41")[0] == []
 
 
+def _found_in(layer, inner):
+    """Whether an assigned secret is found in a layer alone, at its place in the text."""
+    t = f"é some text {layer} more text"
+    at = t.index(layer)
+    return any(path and k == 0 and at <= a < b <= at + len(layer) for (a, k, b), path in secrets.scan(t)[1].items())
+
+
+def test_secret_layers_of_any_bytes():
+    inner = "api_key = ABCDEFGHIJKLMNOP1234"
+    texts = ["clé\u00a0: ", "\ufeff", "\u200b", "soft\u00adhyphen ", "\u2028", "\0", "\f", "\x1b[31m"]
+    raw = [f"{x}{inner}{x}".encode() for x in texts]
+    raw += [f"clé : {inner}".encode("latin-1"), b"\x89PNG\xff\xfe\x00\x01" + inner.encode() + b"\xff\0"]
+    raw += [f"{x}{inner}中{x}".encode(e) for x in ("", "é") for e in ("utf-16", "utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be")]
+    raw += [b"\xff" + inner.encode("utf-16-le"), b"\xff" + inner.encode("utf-16-be")]
+    for data in raw:
+        for pack in (lambda x: x, gzip.compress, lambda x: base64.b64encode(x)):
+            assert _found_in(base64.b64encode(pack(data)).decode(), inner), (data, pack)
+        assert _found_in("".join(f"%{c:02x}" for c in data), inner), data
+    t = "x " + base64.b64encode(f"{inner}中".encode("utf-16-be")).decode()
+    a, _, b = next(s for s, path in secrets.scan(t)[1].items() if s[1] == 0 and path)
+    assert base64.b64decode(t[a : b + -(b - a) % 4]).decode("utf-16-be") == inner
+
+
 def test_secret_frames(hard, none):
     out = secrets.secret_spans(hard).collect()
     assert len(out) == hard.count()
