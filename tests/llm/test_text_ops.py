@@ -1,7 +1,9 @@
 """Token counts, quality rules, mixing, line dedup, secrets, packing, licences on small hard cases."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import urllib.parse
@@ -294,6 +296,36 @@ def test_secret_layers_of_any_bytes():
     assert base64.b64decode(t[a : b + -(b - a) % 4]).decode("utf-16-be") == inner
 
 
+def test_secret_layers_wherever_they_start():
+    inner = "api_key = ABCDEFGHIJKLMNOP1234"
+    plain = base64.b64encode(inner.encode()).decode()
+    long = f"{random.Random(3).randbytes(90).hex(' ')} {inner} and so on".encode()
+    for name, pack in (("none", lambda x: x), ("gzip", gzip.compress), ("zlib", zlib.compress), ("bzip2", bz2.compress), ("xz", lzma.compress)):
+        whole = pack(long)
+        for x in (base64.encodebytes(whole).decode(), base64.encodebytes(whole).decode().replace("\n", "\r\n  "), base64.encodebytes(whole).decode().replace("\n", "\\n")):
+            assert _found_in(x.strip(), inner), (name, x)
+        for head in ("config/", "x-", "key_", "a", "ab", "abc", "abcd"):
+            assert _found_in(head + base64.b64encode(pack(inner.encode())).decode(), inner), (name, head)
+        if name != "none":
+            assert _found_in(base64.b64encode(pack(b"first ") + pack(inner.encode())).decode(), inner), name
+            assert _found_in(base64.b64encode(pack(inner[:9].encode()) + pack(inner[9:].encode())).decode(), inner), name
+            assert _found_in(base64.b64encode(pack(inner.encode()) + b"behind").decode(), inner), name
+            assert _found_in(base64.b64encode(b"\xff\xfe\0" + pack(inner.encode())).decode(), inner), name
+    cut = zlib.compress(inner.encode() + random.Random(4).randbytes(5000))
+    assert _found_in(base64.b64encode(cut[:2000]).decode(), inner)
+    assert _found_in(base64.b64encode(cut[:2000] + b"\xff" * 3000).decode(), inner)
+    assert _found_in(base64.b64encode(gzip.compress(inner.encode())[:-6]).decode(), inner)
+    t = "see\n" + base64.encodebytes(long).decode()
+    a, _, b = max((s for s, path in secrets.scan(t)[1].items() if s[1] == 0 and path == "base64"), key=lambda s: s[2] - s[0])
+    at = [i for i, c in enumerate(t[4:], 4) if c != "\n"]
+    first = long.index(inner.encode())
+    assert (a, b) == (at[first * 4 // 3], at[((first + len(inner)) * 4 + 2) // 3 - 1] + 1)
+    t = f"config/{plain}/next"
+    assert any(path and s[1] == 0 and t[s[0] : s[2]] == plain for s, path in secrets.scan(t)[1].items())
+    gz = base64.b64encode(gzip.compress(inner.encode() + b"."), altchars=b"-_").decode()
+    assert any(path == "base64>gzip" and t[s[0] : s[2]] == gz for t in ["x " + gz] for s, path in secrets.scan(t)[1].items())
+
+
 def test_secret_frames(hard, none):
     out = secrets.secret_spans(hard).collect()
     assert len(out) == hard.count()
