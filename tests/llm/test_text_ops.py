@@ -58,6 +58,16 @@ def test_resynchronised_is_exact():
         assert np.array_equal(got, p.first(t))
 
 
+def test_resynchronised_with_the_blank_of_pieces():
+    p = tokens.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    for _ in range(100):
+        t = "".join(rng.choice(["▁", " ", "ab", "▁the", " of", "中", "\n", "e"]) for _ in range(600))
+        assert np.array_equal(np.concatenate(list(tokens.resynchronised(p, t, rng.choice([64, 100, 333]), rng.choice([4, 16])))), p.first(t))
+    t = "ab ▁ cd " * 10000
+    assert np.array_equal(np.concatenate(list(tokens.resynchronised(p, t))), p.first(t))
+
+
 def test_token_counts(spark, hard, none):
     import sentencepiece
 
