@@ -7,6 +7,10 @@ that comes first never changes an answer. On variants kept out of training a tem
 probabilities, then the least probability from which a family's predictions are right; what is below is the
 unknown class. A family also has to be confirmed by one of its notices, most of whose 2-grams must be there.
 
+A line with a stem, or at whose end a stem is broken, is scored alone and in all windows of the lines around it, up
+to a blank one and as far as the longest notice may reach. So notices wrapped over lines are confirmed too. A window
+counts if it shows more of the notice than the lines before and the lines after do without this one.
+
 Scoring joins the few paragraphs' n-grams to the weights, a table whose size the notices fix. All of it is
 built-in functions; texts aren't shuffled.
 """
@@ -25,17 +29,25 @@ from pyspark.sql import functions as F
 from marlstone.llm.scratch import stash
 from marlstone.llm.text import SPACES
 
-STEMS = ("licen", "lizen", "copyright", "rights reserved", "warrant", "public domain", "redistribut", "permission is", "creative commons", "cc by", "cc-by", "cc0", "gnu ", "spdx")
+STEMS = ("licen", "lizen", "copyright", "rights reserved", "warrant", "public domain", "redistribut", "permission is", "creative commons", "cc by", "cc-by", "cc0", "gnu ", "spdx", "droits r", "droit d", "domaine public", "rechte vorbehalten", "urheberrecht", "gemeinfrei", "derechos reservados", "derechos de autor", "dominio p", "se concede permiso")
+#: A stem of several words with a line break, and marks of comments, in it.
+BROKEN = "|".join(x.strip().replace(" ", "[^a-z0-9\n]*\n[^a-z0-9\n]*") + ("[^a-z0-9\n]*\n" if x.endswith(" ") else "") for x in STEMS if " " in x)
 
 NOTICES = {
     "MIT": [
         "Released under the MIT License.",
+        "Publié sous licence MIT.",
+        "Veröffentlicht unter der MIT-Lizenz.",
+        "Publicado bajo la licencia MIT.",
         "Licensed under the MIT License. See LICENSE in the project root for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction.",
         "SPDX-License-Identifier: MIT",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "Distribué sous la licence Apache, version 2.0.",
+        "Lizenziert unter der Apache-Lizenz, Version 2.0.",
+        "Distribuido bajo la licencia Apache, versión 2.0.",
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind.",
         "SPDX-License-Identifier: Apache-2.0",
@@ -50,6 +62,9 @@ NOTICES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Licensed under the GPL version 2 or later.",
+        "Distribué sous la licence publique générale GNU, version 3.",
+        "Lizenziert unter der GNU General Public License, Version 3.",
+        "Distribuido bajo la licencia pública general de GNU, versión 3.",
         "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "LGPL": [
@@ -68,6 +83,9 @@ NOTICES = {
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
+        "Mis à disposition selon les termes de la licence Creative Commons Attribution 4.0 International.",
+        "Dieses Werk ist lizenziert unter einer Creative Commons Namensnennung 4.0 International Lizenz.",
+        "Esta obra está bajo una licencia Creative Commons Atribución 4.0 Internacional.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ],
     "CC-BY-SA": [
@@ -81,10 +99,16 @@ NOTICES = {
     "CC0": [
         "Released into the public domain under CC0 1.0.",
         "This is free and unencumbered software released into the public domain.",
+        "Cette œuvre est dans le domaine public.",
+        "Dieses Werk ist gemeinfrei.",
+        "Esta obra está en el dominio público.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     ],
     "proprietary": [
         "All rights reserved.",
+        "Tous droits réservés.",
+        "Alle Rechte vorbehalten.",
+        "Todos los derechos reservados.",
         "Copyright 2020 Example Corporation. All rights reserved.",
         "No part of this publication may be reproduced without the prior written permission of the copyright holder. All rights reserved.",
     ],
@@ -99,6 +123,9 @@ OTHERS = [
     "You may use this data under the terms of the custom data license agreement.",
     "Distributed under the zlib license.",
     "Licensed under the Boost Software License, version 1.0.",
+    "Distribué sous la licence CeCILL.",
+    "Lizenziert unter der Lizenz des Verlages.",
+    "Publicado bajo la licencia de la editorial.",
 ]
 #: Prose that has stems and is no notice.
 ALIKE = [
@@ -114,6 +141,9 @@ ALIKE = [
     "Nothing warrants such a price for a used machine.",
     "The licensed plumber came on Monday with two tables reserved for lunch.",
     "The rights reserved for members were discussed at length.",
+    "Il a perdu sa licence de pêche et son droit de vote.",
+    "Das Urheberrecht war das Thema der Vorlesung.",
+    "Perdió su licencia de pesca el año pasado.",
 ]
 FILLER = "the of and that here is in a to was with for they we on at day river table word stone when over under green much".split()
 
@@ -203,6 +233,10 @@ def _pairs(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
 
 
+#: Words of the longest notice.
+LONGEST = max(len(re.findall("[a-z0-9]+", x.lower())) for xs in NOTICES.values() for x in xs)
+
+
 def _has_stem(low: Column) -> Column:
     out = F.lit(False)
     for s in STEMS:
@@ -221,35 +255,65 @@ def _local(spark: SparkSession, **columns: list) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
+def _around(p: Column, back: Column, ahead: Column) -> Column:
+    """Windows (a, b, text) of a lines before and b after p; a or b -1: all lines before alone, or all after."""
+    text = lambda *parts: F.array_join(F.concat(*parts), " ")
+    reach = lambda x: F.filter(F.sequence(F.lit(0), F.size(x)), lambda n: F.size(F.split(F.array_join(F.slice(x, F.lit(1), F.greatest(n - 1, F.lit(0))), " "), " ")) <= LONGEST)
+    window = lambda a, b, t: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), t.alias("text"))
+    part = lambda x, n: F.slice(x, F.lit(1), n)
+    all_of = F.flatten(F.transform(reach(back), lambda a: F.transform(reach(ahead), lambda b: window(a, b, F.when(a + b == 0, p).otherwise(text(F.reverse(part(back, a)), F.array(p), part(ahead, b)))))))
+    return F.concat(all_of, F.array(window(F.lit(-1), F.lit(0), text(F.reverse(back))), window(F.lit(0), F.lit(-1), text(ahead))))
+
+
 def license_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows id, hash (of the text), line, family, probability, confirmed: paragraphs that aren't of class none.
+    """Rows id, hash (of the text), line, family, probability, confirmed: lines that aren't of class none.
 
-    Paragraphs are lines, numbered from 0. Null and empty texts have none; rows that repeat give one row each line.
+    Lines are numbered from 0; of a notice wrapped over lines those with a stem, or with its start, are given. Null
+    and empty texts have none; rows that repeat give one row each line.
     """
     spark, m = docs.sparkSession, model()
-    found = docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("hash"), docs[text].alias("t")).where(_has_stem(F.lower("t")))
-    line = found.select("id", "hash", F.posexplode(F.split("t", "\n")).alias("line", "p")).withColumn("p", F.lower("p")).where(_has_stem(F.col("p")))
+    low = F.lower("t")
+    found = docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("hash"), docs[text].alias("t")).where(_has_stem(low) | F.rlike(low, F.lit(BROKEN)))
+    found = found.select("id", "hash", F.split(low, "\n").alias("ls"))
+    ls, n = F.col("ls"), F.size("ls")
+    broken = lambda i: F.rlike(F.concat(ls[i], F.lit("\n"), F.coalesce(F.get(ls, i + 1), F.lit(""))), F.lit(BROKEN))
+    words = lambda x: F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0))
+    first = lambda x: F.array_join(F.slice(words(x), F.lit(1), F.lit(LONGEST)), " ")
+    last = lambda x: F.array_join(F.reverse(F.slice(F.reverse(words(x)), F.lit(1), F.lit(LONGEST))), " ")
+    unbroken = lambda x: F.slice(x, F.lit(1), F.coalesce(F.nullif(F.array_position(x, F.lit("")), F.lit(0).cast("long")).cast("int") - 1, F.size(x)))
+    before = lambda i: F.reverse(F.slice(ls, F.greatest(i - LONGEST, F.lit(0)) + 1, F.least(i, F.lit(LONGEST))))
+    after = lambda i: F.slice(ls, i + 2, F.lit(LONGEST))
+    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: _has_stem(ls[i]) | broken(i))
+    context = F.transform(at, lambda i: F.struct(i.alias("line"), ls[i].alias("p"), unbroken(F.transform(before(i), last)).alias("back"), unbroken(F.transform(after(i), first)).alias("ahead")))
+    line = found.select("id", "hash", F.explode(context).alias("x")).select("id", "hash", "x.*")
     line = stash(line.dropDuplicates(["id", "hash", "line"]).withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
-    grams = line.select("uid", F.explode(_ngrams(F.col("p"))).alias("g"))
+    place = ["uid", "a", "b"]
+    window = line.select("uid", F.explode(_around(F.col("p"), F.col("back"), F.col("ahead"))).alias("x")).select("uid", "x.*")
+    grams = window.select(*place, F.explode(_ngrams(F.col("text"))).alias("g"))
 
     k = len(m.classes)
     weights = _local(spark, f=m.features, w=m.weights.tolist())
-    scored = grams.join(F.broadcast(weights), F.col("g") == F.col("f")).groupBy("uid").agg(*(F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(k)))
-    scored = line.join(scored, "uid", "left")
+    scored = grams.join(F.broadcast(weights), F.col("g") == F.col("f")).groupBy(*place).agg(*(F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(k)))
+    scored = window.where((F.col("a") >= 0) & (F.col("b") >= 0) & _has_stem(F.col("text"))).select(*place).join(scored, place, "left")
     scores = F.array(*((F.coalesce(f"s{i}", F.lit(0.0)) + float(m.bias[i])) / m.temperature for i in range(k)))
-    scored = scored.select("id", "hash", "line", "uid", scores.alias("s")).withColumn("top", F.array_max("s"))
+    scored = scored.select(*place, scores.alias("s")).withColumn("top", F.array_max("s"))
     scored = scored.withColumn("at", F.array_position("s", F.col("top")).cast("int"))
     total = F.aggregate(F.transform("s", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     scored = scored.withColumn("probability", 1 / total).withColumn("family", F.element_at(F.array(*map(F.lit, m.classes)), F.col("at")))
 
     notices = [(f, i, g, len(_pairs(x))) for f, xs in NOTICES.items() for i, x in enumerate(xs) for g in sorted(_pairs(x))]
     table = _local(spark, **dict(zip(("nf", "ni", "ng", "nn"), map(list, zip(*notices, strict=True)), strict=True)))
-    share = grams.join(F.broadcast(table), F.col("g") == F.col("ng")).groupBy("uid", "nf", "ni").agg((F.count("*") / F.max("nn")).alias("share"))
-    share = share.groupBy("uid", "nf").agg(F.max("share").alias("share")).withColumnRenamed("uid", "u")
-    out = scored.join(share, (F.col("uid") == F.col("u")) & (F.col("family") == F.col("nf")), "left")
-    sure = (F.col("probability") >= m.least) & (F.coalesce("share", F.lit(0.0)) >= CONFIRM)
-    family = F.when(F.col("family").isin(NONE, UNKNOWN), F.col("family")).when(sure, F.col("family")).otherwise(F.lit(UNKNOWN))
-    return out.where(F.col("family") != NONE).select("id", "hash", "line", family.alias("family"), "probability", (family != UNKNOWN).alias("confirmed"))
+    share = grams.join(F.broadcast(table), F.col("g") == F.col("ng")).groupBy(*place, "nf", "ni").agg((F.count("*") / F.max("nn")).alias("share"))
+    share = share.groupBy(*place, "nf").agg(F.max("share").alias("share")).withColumnRenamed("nf", "family")
+    without = share.where((F.col("a") < 0) | (F.col("b") < 0)).groupBy("uid", "family").agg(F.max("share").alias("without"))
+    out = scored.join(share, [*place, "family"], "left").join(without, ["uid", "family"], "left")
+    alone, zero = (F.col("a") == 0) & (F.col("b") == 0), F.lit(0.0)
+    sure = ~F.col("family").isin(NONE, UNKNOWN) & (F.col("probability") >= m.least) & (F.coalesce("share", zero) >= CONFIRM)
+    out = out.withColumn("sure", sure).where(alone | (F.col("sure") & (F.col("share") > F.coalesce("without", zero))))
+    best = F.struct("sure", F.when(F.col("sure"), F.col("share")).otherwise(zero), -F.col("a") - F.col("b"), "probability", "family", "a")
+    out = line.select("uid", "id", "hash", "line").join(out.groupBy("uid").agg(F.max_by(F.struct("family", "probability", "sure"), best).alias("x")), "uid").select("id", "hash", "line", "x.*")
+    family = F.when(F.col("sure") | F.col("family").isin(NONE, UNKNOWN), F.col("family")).otherwise(F.lit(UNKNOWN))
+    return out.where(F.col("family") != NONE).select("id", "hash", "line", family.alias("family"), "probability", F.col("sure").alias("confirmed"))
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,34 @@ def test_license_scan_as_by_hand(spark, documents):
     assert {(i, k) for i, _, k, _ in got} >= {(2, "MIT"), (2, "proprietary"), (4, "CC-BY-NC"), (None, "MIT")}
 
 
+def test_license_notices_wrapped_over_lines(spark, documents):
+    import textwrap
+
+    texts = {
+        "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use',
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "CC-BY-NC": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "proprietary": "All rights reserved.",
+    }
+    plain = "A river ran by the house.\nCopyright law was the topic of the lecture.\n"
+    rows, want = [], []
+    for family, x in texts.items():
+        for width in (30, 72, 78) if family != "proprietary" else (11,):
+            for head, gap in (("", ""), (" * ", "\n"), ("# ", "")):
+                body = "\n".join(head + y for y in textwrap.wrap(x, width))
+                rows.append((len(rows), f"{plain}{gap}{body}\n{gap}Water and wood.", "en", None))
+                want.append({family})
+    for x, family in (("Tous droits réservés.", "proprietary"), ("Alle Rechte vorbehalten.", "proprietary"), ("Todos los derechos reservados.", "proprietary"), ("Publié sous licence MIT.", "MIT"), ("Veröffentlicht unter der MIT-Lizenz.", "MIT")):
+        rows.append((len(rows), f"Haus und Hof.\n{x}", "fr", None))
+        want.append({family})
+    rows.append((len(rows), f"{plain}Released under the MIT License.\nNothing else.", "en", None))
+    want.append({"MIT"})
+    got = [(r["id"], r["line"], r["family"]) for r in licenses.license_paragraphs(documents(rows)).where("confirmed").collect()]
+    assert [{f for i, _, f in got if i == j} for j in range(len(rows))] == want
+    assert [n for i, n, _ in got if i == len(rows) - 1] == [2]
+
+
 def test_license_query(spark):
     out = QUERIES["op4_license_scans"](spark, str(DATA)).collect()
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
