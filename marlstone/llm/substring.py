@@ -2,10 +2,10 @@
 
 The suffixes of all documents are dealt to groups that fit in memory by prefixes of variable length: a first pass
 counts suffixes by the hash of their first 1, 2, 4 and all `window` words, and a suffix goes by the shortest of
-these prefixes that few enough share. The suffix tree is cut at the depth of a window, since whatever lies deeper
-covers no more words: in a group, suffixes with the same path of `window` words meet in one node, and a node with
-suffixes of several documents is a repeat. All of them but those of its smallest document are removed, and
-neighbouring windows join to maximal repeats.
+these prefixes that few enough share. That only chooses the group; no suffix tree is built. In a group, suffixes
+with the same hash of `window` words are joined, and one that several documents have is a repeat. Whatever is longer
+covers no more words. All suffixes but those of the smallest document are removed, and neighbouring windows join to
+maximal repeats.
 
 A task sorts its own suffixes first. Of a path that it holds several times it sends on only the suffixes of the
 smallest document; the others are settled. So a passage in a third of all documents costs a group one entry per
