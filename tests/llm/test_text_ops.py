@@ -274,6 +274,15 @@ def test_line_dedup(documents, none):
     assert lines.without_boilerplate(none).count() == 0
 
 
+def test_line_dedup_of_few_sites(documents):
+    """With fewer sites than MIN_SITES nothing goes, as the README says, unless a smaller number is given."""
+    rows = [(i, f"own line {i}\nshared line", "en", f"s{i % 9}") for i in range(40)]
+    removed = lambda docs, **given: lines.without_boilerplate(docs, **given).where("_n_removed > 0").count()
+    assert removed(documents(rows)) == 0
+    assert removed(documents(rows), min_sites=9) == 39
+    assert removed(documents([*rows, (40, "shared line", "en", "s9")])) == 40
+
+
 def test_sketch_decides_beyond_the_band(spark, documents):
     """Far above the threshold the sketch decides, near it exact counts do; both agree with exact counts."""
     rows = [(i, "\n".join(f"line {k}" for k in (5, 20, 60, 200) if i < k), "en", f"site{i}") for i in range(200)]
