@@ -28,7 +28,7 @@ WALL = "\n"
 
 
 class Pieces:
-    """A sentencepiece model with the bytes that each id stands for; no normalisation but the leading blank."""
+    """A sentencepiece model with the bytes that each id stands for. ValueError for one that does more than put a blank first."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -37,7 +37,9 @@ class Pieces:
         n = self.model.get_piece_size()
         names = [self.model.id_to_piece(i) for i in range(n)]
         self.bytes_of = np.array([1 if self.model.is_byte(i) else len(s.replace("▁", " ").encode()) for i, s in enumerate(names)], np.int64)
-        self.plain = not any(WALL in s for s in names) and self.model.normalize("a  b" + WALL + "ﬁ ") == "▁a▁▁b" + WALL + "ﬁ▁"
+        whole = {bytes([b]) for b in range(256)} <= {bytes([int(s[3:5], 16)]) for i, s in enumerate(names) if self.model.is_byte(i)}
+        if any(WALL in s for s in names) or not whole or self.model.normalize("a  b" + WALL + "ﬁ ") != "▁a▁▁b" + WALL + "ﬁ▁":
+            raise ValueError(f"{path} changes texts before it cuts them or lacks pieces for bytes; chunks of a text can't be spliced under it")
 
     def first(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text), np.int64)
@@ -57,7 +59,7 @@ def _starts(at: int, lengths: np.ndarray) -> np.ndarray:
 def resynchronised(pieces: Pieces, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[np.ndarray]:
     """The ids of text, some at a time. Offsets count from -1, where the leading blank stands."""
     raw = text.replace("▁", " ").encode()  # the model writes blanks so, hence both give the same pieces
-    if len(raw) <= chunk or not pieces.plain:
+    if len(raw) <= chunk:
         yield pieces.first(text)
         return
 

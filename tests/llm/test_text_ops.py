@@ -46,7 +46,6 @@ def test_against_sql(spark, duck, name):
 
 def test_resynchronised_is_exact():
     p = tokens.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    assert p.plain
     rng = random.Random(1)
     makers = [
         lambda: "a" * rng.randint(50, 2000), lambda: "".join(rng.choice("ab ") for _ in range(1500)), lambda: "".join(chr(rng.choice([97, 98, 233, 0x4E2D, 0x1F600, 32, 10, 9, 0x301])) for _ in range(1000)),
@@ -68,6 +67,19 @@ def test_resynchronised_with_the_blank_of_pieces():
     assert np.array_equal(np.concatenate(list(tokens.resynchronised(p, t))), p.first(t))
 
 
+def test_resynchronised_on_special_characters():
+    """Texts above the chunk, with every kind of character that could be read another way."""
+    p = tokens.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    odd = ["▁", "▁▁", "\0", "\u200b", "\ufeff", "\u2028", "\u00a0", "\u3000", "\ufffd", "\u0301", "ﬁ", "①", "\U0010ffff", "<s>", "</s>", "<unk>", "<0x41>", "\r\n", "\t", "\x7f", "العربية", "中文", "😀👩‍👩‍👧", " " * 50, "=" * 300]
+    rng = random.Random(5)
+    for x in [*odd, None]:
+        t = "".join((rng.choice(odd) if x is None else x) if rng.random() < 0.05 else rng.choice(["the ", "river", " of", "é", "\n", "un"]) for _ in range(24_000))
+        assert len(t.encode()) > tokens.CHUNK
+        assert np.array_equal(np.concatenate(list(tokens.resynchronised(p, t))), p.first(t))
+    t = " ".join("".join(rng.choice("abcdefgh▁é") for _ in range(rng.randint(1, 12))) for _ in range(400_000))
+    assert sum(map(len, tokens.resynchronised(p, t))) == len(p.first(t))
+
+
 def test_token_counts(spark, hard, none):
     import sentencepiece
 
