@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.points import coordinates, distance2
@@ -30,8 +30,12 @@ def at_point(df: DataFrame, column: str, px: float, py: float, epsilon: float =
     return within_window(df, column, px - epsilon, py - epsilon, px + epsilon, py + epsilon)
 
 
+def distance_to(df: DataFrame, column: str, px: float, py: float) -> Column:
+    x, y = coordinates(df, column)
+    return F.sqrt(distance2(x, y, px, py))
+
+
 def nearest(df: DataFrame, column: str, px: float, py: float, k: int, key: str) -> DataFrame:
     """The k nearest points, exactly, ties by key; with `distance`. A top-k per task, then one merge; no full sort."""
-    x, y = coordinates(df, column)
-    near = df.withColumn("distance", F.sqrt(distance2(x, y, px, py))).where(F.col("distance").isNotNull())
+    near = df.withColumn("distance", distance_to(df, column, px, py)).where(F.col("distance").isNotNull())
     return near.orderBy("distance", key).limit(k)

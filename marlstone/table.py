@@ -294,28 +294,35 @@ class Table:
         return self.knn(column, "text", query, k)
 
     def execute(self, request: dict[str, Any]) -> Any:
-        """The storage interface as one call: {"op": ...}. Lists of dicts for rows; None for an unknown op."""
+        """The storage interface as one call: {"op": ...}. Lists of dicts for rows; None for an unknown op.
+
+        Rows come by key, those within a circle by distance and then key, nearest ones best first. They are fetched
+        partition by partition.
+        """
         op, column = request.get("op"), request.get("field") or request.get("column")
-        listed = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+        listed = lambda df: [r.asDict(recursive=True) for r in df.toLocalIterator()]
+        by_key = lambda df: listed(df.orderBy(self.manifest.key))
         match op:
             case "get_all":
-                return listed(self.rows())
+                return by_key(self.rows())
             case "insert":
                 return {"affected": int(self.insert([request["record"]])[0])}
             case "build":
                 return {"count": sum(self.insert(request["records"]))}
             case "search":
-                return listed(self.search(column, request["value"]))
+                return by_key(self.search(column, request["value"]))
             case "range_search":
-                return listed(self.range_search(column, request["min"], request["max"]))
+                return by_key(self.range_search(column, request["min"], request["max"]))
             case "remove":
                 return {"affected": self.remove(column, "=", request["value"])}
             case "import_csv":
                 return {"count": self.import_csv(request["path"])}
             case "rtree_within_circle":
-                return listed(self.within_circle(column, tuple(request["center"]), request["radius"]))
+                center = tuple(request["center"])
+                found = self.within_circle(column, center, request["radius"])
+                return listed(found.orderBy(spatial.distance_to(found, self.manifest.column(column), *center), self.manifest.key))
             case "rtree_range":
-                return listed(self.within_window(column, *request["window"]))
+                return by_key(self.within_window(column, *request["window"]))
             case "create_inverted_text":
                 return self.create_index(column, "invtext")
             case "drop_inverted_text":

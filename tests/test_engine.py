@@ -173,7 +173,9 @@ def test_storage_calls(engine):
     t = engine.table("k")
     run(engine, "CREATE TABLE k (id INT PRIMARY KEY, name TEXT, at TEXT)")
     assert t.execute({"op": "build", "records": [{"id": 1, "name": "a", "at": "0,0"}, {"id": 1, "name": "b", "at": ""}, {"id": 2, "name": "c", "at": "3,4"}]}) == {"count": 2}
-    assert t.execute({"op": "rtree_within_circle", "field": "at", "center": (0, 0), "radius": 5})[1]["id"] == 2
+    assert [r["id"] for r in t.execute({"op": "rtree_within_circle", "field": "at", "center": (0, 0), "radius": 5})] == [1, 2]
+    assert [r["id"] for r in t.execute({"op": "rtree_within_circle", "field": "at", "center": (3, 3), "radius": 5})] == [2, 1]
+    assert [r["id"] for r in t.execute({"op": "get_all"})] == [1, 2]
     assert len(t.execute({"op": "rtree_range", "field": "at", "window": (0, 0, 1, 1)})) == 1
     assert t.execute({"op": "knn", "field": "at", "point": (3, 3), "k": 1})[0]["id"] == 2
     assert t.execute({"op": "remove", "field": "name", "value": "a"}) == {"affected": 1}
