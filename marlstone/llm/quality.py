@@ -3,9 +3,14 @@
 Fixed rules (too few words, too much repetition) come first. What passes them fills one quantile sketch per
 language, source and feature: counts on a fixed grid with 32 steps per power of two, so a quantile is off by
 1/32 of its value at most, two sketches merge by adding counts, and the result doesn't depend on the order of
-merging. Fences are read from the sketch of (language, source), or where that holds under `min_docs` documents
-from the one merged over the language, or else from the one merged over everything. The fences, a row for each
-language and source, are joined back and decide.
+merging. A fence lies beyond a quantile of the sketch by a multiple of that quantile's distance from the median,
+which counts as one cell of the grid at least, as no sketch knows it better. Features that most documents have none
+of (symbols, repeated lines and words) take quantiles far enough up to see who has some.
+
+The fences of a group of n documents are weighted n to `prior` against those of the next larger one: language and
+source against language, that against all. So a large source goes by its own documents and a small one by its
+language's, without a number at which one gives way to the other. The fences, a row for each language and source,
+are joined back and decide.
 
 Everything is built-in expressions; a text is read once and only numbers are shuffled.
 """
@@ -18,15 +23,15 @@ from pyspark.sql import functions as F
 from marlstone.llm.scratch import stash
 from marlstone.llm.text import bucket, let, n_words, shifted, words
 
-#: feature: (numerator, scale, denominator, least spread, fenced below too)
+#: feature: (numerator, scale, denominator, per cent of the lower and of the upper quantile, how often its distance from the median)
 FEATURES = {
-    "word_len": ("word_chars", 100, "n_words", 60, True),
-    "symbols": ("n_symbols", 10_000, "word_chars", 150, False),
-    "dup_lines": ("n_dup_lines", 10_000, "n_lines", 1500, False),
-    "repeats": ("n_repeat_words", 10_000, "n_words", 650, False),
+    "word_len": ("word_chars", 100, "n_words", 20, 80, 6),
+    "symbols": ("n_symbols", 10_000, "word_chars", None, 85, 1),
+    "dup_lines": ("n_dup_lines", 10_000, "n_lines", None, 99, 1),
+    "repeats": ("n_repeat_words", 10_000, "n_words", None, 99, 1),
 }
-#: Tukey's far-out fences, and the documents a sketch needs to be used.
-K, MIN_DOCS = 3, 200
+#: Documents of its own that a group needs to weigh as much as the next larger one.
+PRIOR = 200
 
 
 def _repeat_words(h: Column, n: Column) -> Column:
@@ -90,46 +95,58 @@ def base_failed(m: str = "_m") -> Column:
 
 
 def _feature(name: str, m: str = "_m") -> Column:
-    top, scale, bottom, _, _ = FEATURES[name]
-    return F.floor(F.col(f"{m}.{top}") * scale / F.greatest(F.col(f"{m}.{bottom}"), F.lit(1))).cast("long")
+    """A document's cell of the grid for a feature."""
+    top, scale, bottom = FEATURES[name][:3]
+    return bucket(F.floor(F.col(f"{m}.{top}") * scale / F.greatest(F.col(f"{m}.{bottom}"), F.lit(1))).cast("long"))
+
+
+def _cell_width(v: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(v)) - 6, F.lit(0)))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """Rows (lang, source, feature, bucket, n): the sketches, merged by adding n; partial sums come before the shuffle."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), bucket(_feature(k)).alias("bucket")) for k in FEATURES)))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), _feature(k).alias("bucket")) for k in FEATURES)))
     rows = measured.where(~base_failed()).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), each.alias("x"))
     return rows.groupBy("lang", "source", "x.feature", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, k: int = K, min_docs: int = MIN_DOCS) -> DataFrame:
-    """A row for each (lang, source) of the sketches with lo_ and hi_ for each feature."""
-    levels = [("lang", "source"), ("lang",), ()]
-    keys = sketch.select("lang", "source").distinct()
-    out = keys
-    for i, by in enumerate(levels):
-        merged = sketch.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*by, "feature")
-        run = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("c"), F.sum("n").over(w).alias("t"))
-        at = lambda q: F.min(F.when(F.col("c") * 100 >= F.col("t") * q, F.col("bucket")))
-        quart = run.groupBy(*by, "feature").agg(at(25).alias("q1"), at(75).alias("q3"), F.max("t").alias("t"))
-        cols = []
-        for f, (_, _, _, least, below) in FEATURES.items():
-            far = k * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-            mine = F.col("feature") == f
-            cols.append(F.max(F.when(mine, F.col("q3") + far)).alias(f"hi_{f}_{i}"))
-            cols.append(F.max(F.when(mine, F.col("q1") - far if below else F.lit(-1).cast("long"))).alias(f"lo_{f}_{i}"))
-        level = quart.groupBy(*by).agg(*cols, F.max("t").alias(f"t_{i}"))
-        renamed = level.select(*(F.col(c).alias(f"_{c}_{i}") for c in by), *(F.col(c) for c in level.columns if c not in by))
-        on = [F.col(c).eqNullSafe(F.col(f"_{c}_{i}")) for c in by]
-        out = out.join(renamed, on, "left") if on else out.crossJoin(renamed)  # the last level has one row
-    use = F.when(F.col("t_0") >= min_docs, 0).when(F.col("t_1") >= min_docs, 1).otherwise(2)
-    pick = lambda c: F.when(use == 0, F.col(f"{c}_0")).when(use == 1, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
-    return out.select(F.col("lang").alias("_f_lang"), F.col("source").alias("_f_source"), *(pick(f"{s}_{f}").alias(f"_{s}_{f}") for f in FEATURES for s in ("lo", "hi")))
-
-
-def judge(measured: DataFrame, k: int = K, min_docs: int = MIN_DOCS) -> DataFrame:
+def _group_fences(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each group: t, its documents, and lo_ and hi_ for each feature, from its own sketch alone."""
+    merged = sketch.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*by, "feature")
+    run = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("c"), F.sum("n").over(w).alias("t"))
+    at = lambda q: F.min(F.when(F.col("c") * 100 >= F.col("t") * q, F.col("bucket")))
+    levels = sorted({q for f in FEATURES.values() for q in (f[3], f[4], 50) if q is not None})
+    found = run.groupBy(*by, "feature").agg(*(at(q).alias(f"q{q}") for q in levels), F.max("t").alias("t"))
+    cols = []
+    for f, (_, _, _, low, high, k) in FEATURES.items():
+        mid, cell = F.col("q50"), _cell_width(F.col("q50"))
+        mine = F.col("feature") == f
+        cols.append(F.max(F.when(mine, F.col(f"q{high}") + k * F.greatest(F.col(f"q{high}") - mid, cell))).alias(f"hi_{f}"))
+        cols.append(F.max(F.when(mine, F.lit(-1).cast("long") if low is None else F.col(f"q{low}") - k * F.greatest(mid - F.col(f"q{low}"), cell))).alias(f"lo_{f}"))
+    return found.groupBy(*by).agg(*cols, F.max("t").alias("t"))
+
+
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """A row for each (lang, source) of the sketches with _lo_ and _hi_ for each feature."""
+    out = sketch.select("lang", "source").distinct()
+    for i, by in enumerate((["lang", "source"], ["lang"], [])):
+        level = _group_fences(sketch, by)
+        level = level.select(*(F.col(c).alias(f"{c}_{i}") for c in level.columns))
+        on = [F.col(c).eqNullSafe(F.col(f"{c}_{i}")) for c in by]
+        out = out.join(level, on, "left") if on else out.crossJoin(level)  # the last level has one row
+
+    def weighed(c: str) -> Column:
+        wide = (F.col("t_1") * F.col(f"{c}_1") + prior * F.col(f"{c}_2")) / (F.col("t_1") + prior)
+        return (F.col("t_0") * F.col(f"{c}_0") + prior * wide) / (F.col("t_0") + prior)
+
+    return out.select(F.col("lang").alias("_f_lang"), F.col("source").alias("_f_source"), *(weighed(f"{s}_{f}").alias(f"_{s}_{f}") for f in FEATURES for s in ("lo", "hi")))
+
+
+def judge(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     """Add _failed and _kept to a materialised frame of _lang, _source and _m."""
-    fence = stash(fences(stash(sketches(measured), "sketch"), k, min_docs), "fences")  # the files' sizes tell the join whether it may broadcast
+    fence = stash(fences(stash(sketches(measured), "sketch"), prior), "fences")  # the files' sizes tell the join whether it may broadcast
     joined = measured.join(fence, F.col("_lang").eqNullSafe(F.col("_f_lang")) & F.col("_source").eqNullSafe(F.col("_f_source")), "left")
     inside = F.lit(True)
     for f in FEATURES:
@@ -141,21 +158,21 @@ def _with_measures(docs: DataFrame, keep: list[str], text: str, lang: str, sourc
     return docs.select(*(docs[c] for c in keep), docs[lang].alias("_lang"), docs[source].alias("_source"), measures(docs[text]).alias("_m"))
 
 
-def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", k: int = K, min_docs: int = MIN_DOCS) -> DataFrame:
+def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
     """One row per input row: key, the counts, base_failed and kept.
 
     Null or empty text has no words and fails. Null languages and sources form groups of their own. Repeated
     rows and keys are each judged. Other columns are ignored. No rows give no rows.
     """
-    out = judge(stash(_with_measures(docs, [key], text, lang, source), "measures"), k, min_docs)
+    out = judge(stash(_with_measures(docs, [key], text, lang, source), "measures"), prior)
     return out.select(key, *(F.col(f"_m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
-def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", k: int = K, min_docs: int = MIN_DOCS) -> DataFrame:
+def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
     """The rows whose text is kept, with all their columns; nulls and repeated rows as in quality_report."""
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # safe from names that clash with ours
     name = dict(zip(docs.columns, plain.columns, strict=True))
-    out = judge(stash(_with_measures(plain, plain.columns, name[text], name[lang], name[source]), "measured"), k, min_docs)
+    out = judge(stash(_with_measures(plain, plain.columns, name[text], name[lang], name[source]), "measured"), prior)
     return out.where("_kept").select(*plain.columns).toDF(*docs.columns)
 
 
@@ -164,23 +181,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    width = "(1 << greatest(length(bin(q50)) - 6, 0))"
+    levels = sorted({q for f in FEATURES.values() for q in (f[3], f[4], 50) if q is not None})
+
     def level(i: int, by: list[str]) -> str:
         keys = "".join(f"{c}, " for c in by)
         part = ", ".join([*by, "feature"])
+        mine = lambda f, x: f"max(CASE WHEN feature = '{f}' THEN {x} END)"
         cols = ", ".join(
-            f"max(CASE WHEN feature = '{f}' THEN q3 + {K} * greatest(q3 - q1, {least}) END) AS hi_{f}, max(CASE WHEN feature = '{f}' THEN {f'q1 - {K} * greatest(q3 - q1, {least})' if below else '-1'} END) AS lo_{f}"
-            for f, (_, _, _, least, below) in FEATURES.items()
+            mine(f, f"q{high} + {k} * greatest(q{high} - q50, {width})") + f" AS hi_{f}, " + mine(f, "-1" if low is None else f"q{low} - {k} * greatest(q50 - q{low}, {width})") + f" AS lo_{f}"
+            for f, (_, _, _, low, high, k) in FEATURES.items()
         )
+        quantiles = ", ".join(f"min(CASE WHEN c * 100 >= t * {q} THEN bucket END) AS q{q}" for q in levels)
         return f"""
 m{i} AS (SELECT {keys}feature, bucket, count(*) AS n FROM cells GROUP BY {keys}feature, bucket),
 r{i} AS (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY {part}) AS t FROM m{i}),
-q{i} AS (SELECT {keys}feature, min(CASE WHEN c * 100 >= t * 25 THEN bucket END) AS q1, min(CASE WHEN c * 100 >= t * 75 THEN bucket END) AS q3, max(t) AS t FROM r{i} GROUP BY {keys}feature),
-l{i} AS (SELECT {keys}{cols}, max(t) AS t FROM q{i} {'GROUP BY ' + ', '.join(by) if by else ''})"""
-
-    feats = ", ".join(f"CAST(floor({a} * {s} / greatest({b}, 1)) AS BIGINT) AS f_{f}" for f, (a, s, b, _, _) in FEATURES.items())
-    cells = " UNION ALL ".join(f"SELECT lang, source, '{f}' AS feature, (f_{f} >> greatest(length(bin(f_{f})) - 6, 0)) << greatest(length(bin(f_{f})) - 6, 0) AS bucket FROM judged WHERE NOT base_failed" for f in FEATURES)
-    pick = lambda c: f"CASE WHEN l0.t >= {MIN_DOCS} THEN l0.{c} WHEN l1.t >= {MIN_DOCS} THEN l1.{c} ELSE l2.{c} END"
-    inside = " AND ".join(f"f_{f} BETWEEN {pick(f'lo_{f}')} AND {pick(f'hi_{f}')}" for f in FEATURES)
+q{i} AS (SELECT {keys}feature, {quantiles}, max(t) AS t FROM r{i} GROUP BY {keys}feature),
+l{i} AS (SELECT {keys}{cols}, max(t)::DOUBLE AS t FROM q{i} {'GROUP BY ' + ', '.join(by) if by else ''})"""
+
+    cell = lambda f: f"(f_{f} >> greatest(length(bin(f_{f})) - 6, 0)) << greatest(length(bin(f_{f})) - 6, 0)"
+    feats = ", ".join(f"CAST(floor({x[0]} * {x[1]} / greatest({x[2]}, 1)) AS BIGINT) AS f_{f}" for f, x in FEATURES.items())
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{f}' AS feature, {cell(f)} AS bucket FROM judged WHERE NOT base_failed" for f in FEATURES)
+    fence = lambda c: f"(l0.t * l0.{c} + {PRIOR} * ((l1.t * l1.{c} + {PRIOR} * l2.{c}) / (l1.t + {PRIOR}))) / (l0.t + {PRIOR})"
+    inside = " AND ".join(f"{cell(f)} BETWEEN {fence(f'lo_{f}')} AND {fence(f'hi_{f}')}" for f in FEATURES)
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),

@@ -106,7 +106,7 @@ def test_token_counts_of_all_documents(spark):
 
 
 def test_quality_report(hard, none):
-    out = quality.quality_report(hard, min_docs=2).collect()
+    out = quality.quality_report(hard, prior=2).collect()
     assert len(out) == hard.count()
     by = {r["doc_id"]: r for r in out}
     for i, t in enumerate(HARD):
@@ -133,6 +133,52 @@ def test_quality_filter_keeps_clean(documents):
     assert ids == set(range(300))
 
 
+def test_fences_follow_the_data(documents):
+    """Fences against quantiles of the documents themselves; two sources of different words get different ones."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        lang, source, most = rng.choice([("en", "short", 5), ("en", "long", 12), ("de", "short", 7)])
+        rows.append((i, " ".join("x" * rng.randint(1, most) + str(rng.randint(0, 99)) for _ in range(rng.randint(12, 60))) + rng.choice(["", "", "", " #|#"]), lang, source))
+    measured = quality._with_measures(documents(rows), ["doc_id"], "text", "lang", "source")
+    got = {(r["_f_lang"], r["_f_source"]): r for r in quality.fences(quality.sketches(measured), 50).collect()}
+    cell = lambda v: (v >> max(v.bit_length() - 6, 0)) << max(v.bit_length() - 6, 0)
+    groups = defaultdict(list)
+    for _, t, lang, source in rows:
+        w = words(t)
+        chars = sum(map(len, w))
+        v = {"word_len": cell(100 * chars // len(w)), "symbols": cell(10_000 * len(re.findall(r"[#*$%&|<>]", t)) // chars)}
+        for k in ((lang, source), (lang,), ()):
+            groups[k].append(v)
+
+    def own(k, f):
+        x = sorted(v[f] for v in groups[k])
+        q = lambda p: x[-(-p * len(x) // 100) - 1]
+        _, _, _, low, high, times = quality.FEATURES[f]
+        step = 1 << max(q(50).bit_length() - 6, 0)
+        return (-1 if low is None else q(low) - times * max(q(50) - q(low), step)), q(high) + times * max(q(high) - q(50), step), len(x)
+
+    for key, r in got.items():
+        for f in ("word_len", "symbols"):
+            wide = None
+            for k in ((), key[:1], key):
+                x = own(k, f)
+                wide = x[:2] if wide is None else tuple((x[2] * x[j] + 50 * wide[j]) / (x[2] + 50) for j in (0, 1))
+            assert (r[f"_lo_{f}"], r[f"_hi_{f}"]) == pytest.approx(wide, abs=1e-6)
+    assert got["en", "short"]["_hi_word_len"] < got["en", "long"]["_hi_word_len"]
+
+
+def test_quality_by_labels(spark):
+    """Documents labelled good stay, those labelled bad go; fences are the data's own, not one cell wide."""
+    from pyspark.sql import functions as F
+
+    sf = DATA.parent / "sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {(r["quality"], r["kept"]): r["n"] for r in quality.quality_report(docs).join(labels, "doc_id").where(~F.col("base_failed")).groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
+    share = {q: kept.get((q, True), 0) / (kept.get((q, True), 0) + kept.get((q, False), 0)) for q in (0, 1)}
+    assert share[1] >= 0.97 and share[0] <= 0.1
+
+
 def test_sketches_merge(documents):
     """The sketch of all rows is the sum of the sketches of parts."""
     rng = random.Random(3)
