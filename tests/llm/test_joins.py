@@ -161,6 +161,25 @@ def test_embedding_hard_cases(spark):
     assert embeddings.embedding_components(vectors(spark, [])).count() == 0
 
 
+def test_embedding_bound_and_repeated_keys(spark):
+    """Cosines of exactly 0.8 link at 0.8; rows that repeat a key count once, whatever their vectors; copies count each."""
+    rows = [(1, [1.0, 0.0]), (2, [4.0, 3.0]), (3, [8.0, 6.0]), (4, [4.0, 3.001])]
+    out = {r["vec_id"]: tuple(r)[1:] for r in embeddings.embedding_components(vectors(spark, rows), cosine=0.8).collect()}
+    assert out == {1: (2, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (2, 1, False)}
+    again = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [0.0, 1.0]), (8, [0.0, 1.0])]
+    out = [tuple(r) for r in embeddings.embedding_components(vectors(spark, again)).collect()]
+    kept = min((np.float32(v).tobytes(), v) for i, v in again if i == 5)[1]  # the least bytes
+    like = [i for i, v in dict.fromkeys((i, tuple(v)) for i, v in again if i != 5) if list(v) == kept]
+    assert len(out) == len(again) and {x for x in out if x[0] == 5} == {(5, len(like), 5, True)}
+    assert {x[1] for x in out if x[0] in like} == {len(like)}
+
+
+def test_embedding_codes_are_near():
+    x = np.random.default_rng(4).standard_normal((500, 16))
+    low, off = embeddings._decoded([c.tobytes() for c in embeddings._codes(x)])
+    assert np.sqrt(((low - x) ** 2).sum(axis=1)).max() <= off
+
+
 def test_rotation():
     q = embeddings.rotation(64)
     assert np.allclose(q @ q.T, np.eye(64), atol=1e-12)
