@@ -203,26 +203,68 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("group", "buffer", "window"), [(500_000, 500_000, 13), (40, 60, 5), (10, 300, 13), (30, 100, 3)])
-def test_without_repeats(documents, group, buffer, window):
-    """In one group and buffer, and in many."""
-    rng = random.Random(window + group)
-    passages = [[f"p{k}_{j}" for j in range(rng.randint(5, 40))] for k in range(5)]
+def passages(window, seed):
+    rng = random.Random(seed)
+    known = [[f"p{k}_{j}" for j in range(rng.randint(5, 40))] for k in range(5)]
     rows = []
     for i in range(40):
         w = []
         for _ in range(rng.randint(0, 5)):
-            w += [f"w{rng.randrange(8)}" for _ in range(rng.randint(0, 20))] if rng.random() < 0.6 else rng.choice(passages)
+            w += [f"w{rng.randrange(8)}" for _ in range(rng.randint(0, 20))] if rng.random() < 0.6 else rng.choice(known)
         rows.append((i, rng.choice([" ", "\n", "  "]).join(w)))
     rows += [rows[3], (4, "x y z " * 10), (None, rows[5][1]), (None, None), (77, ""), (78, "p0_0 " * 30)]
     rng.shuffle(rows)
+    return rows
+
+
+def fixed(documents, rows):
     docs = documents([(i, t, None, None) for i, t in rows]).coalesce(2)
-    docs = docs.sparkSession.createDataFrame(docs.collect(), docs.schema)
-    out = substring.without_repeats(docs, window=window, group=group, buffer=buffer)
+    return docs.sparkSession.createDataFrame(docs.collect(), docs.schema)
+
+
+@pytest.mark.parametrize("options", [{}, {"group": 40, "buffer": 60, "window": 5}, {"group": 10, "buffer": 300, "prints": 50, "piece": 12}, {"group": 30, "buffer": 100, "window": 3, "piece": 7}])
+def test_without_repeats(documents, options):
+    """In one group and buffer, in many, and documents in pieces."""
+    window = options.get("window", 13)
+    rows = passages(window, window + len(options))
+    out = substring.without_repeats(fixed(documents, rows), **options)
     assert {(r["doc_id"], r["_n_words"], r["_n_removed"], r["_kept"]) for r in out.collect()} == brute_repeats(rows, window)
     assert out.count() == len(rows)
 
 
+@pytest.mark.parametrize("mask", [0, 3])
+def test_without_repeats_when_hashes_collide(documents, monkeypatch, mask):
+    """Words decide: with hashes of no or two bits the same words go."""
+    monkeypatch.setattr(substring, "mixed", lambda h: h & np.uint64(mask))
+    rows = passages(5, 17)
+    out = substring.without_repeats(fixed(documents, rows), window=5, buffer=80, group=50)
+    assert {(r["doc_id"], r["_n_words"], r["_n_removed"], r["_kept"]) for r in out.collect()} == brute_repeats(rows, 5)
+
+
+def test_without_repeats_behind_a_shuffle(documents, spark, monkeypatch):
+    """Input from a shuffle, joins by shuffles, and rows in another order give the same."""
+    monkeypatch.setattr(substring, "BROADCAST", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = passages(5, 18)
+        for n in (3, 5):
+            out = substring.without_repeats(fixed(documents, rows).repartition(n), window=5, buffer=80, group=50)
+            assert {(r["doc_id"], r["_n_words"], r["_n_removed"], r["_kept"]) for r in out.collect()} == brute_repeats(rows, 5)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_nodes_of_a_suffix_tree():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2, (200, 6)).astype(np.int32)
+    order, lcp = substring.nodes(x)
+    s = [tuple(r) for r in x[order]]
+    assert s == sorted(map(tuple, x))
+    assert lcp[0] == -1
+    for a, b, n in zip(s, s[1:], lcp[1:]):
+        assert a[:n] == b[:n] and (n == 6 or a[n] != b[n])
+
+
 def test_no_rows(documents):
     assert substring.without_repeats(documents([])).count() == 0
     assert substring.without_repeats(documents([(1, None, None, None), (2, "few words", None, None)])).count() == 2
