@@ -48,19 +48,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
 SLICE = 1 << 14
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts below 2^32 in the narrowest type that holds them, the type's size first."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def table_rows(tables: np.ndarray) -> pa.RecordBatch:
-    """A task's counts as rows (slice, counts) of fixed size."""
-    parts = tables.reshape(-1, SLICE).astype("<u4")
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
+    """A task's counts as rows (slice, counts) of fixed size; slices of zeros are left out."""
+    parts = tables.reshape(-1, SLICE)
+    some = np.flatnonzero(parts.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([narrow(parts[i]) for i in some], pa.binary())], names=["slice", "counts"])
 
 
 def summed(rows: DataFrame, entries: int) -> np.ndarray:
-    """The sums of all tasks' tables. They are added up on the executors; a table of fixed size, however large the input, reaches the driver."""
+    """The sums of all tasks' tables. They are added up on the executors; a table of bounded size reaches the driver."""
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros(SLICE, np.int64)
         for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, "<u4")
+            total += widened(x)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(entries, np.int64)

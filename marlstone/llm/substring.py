@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.hashing import SLICE, in_batches, joined, mixed, table_rows, word_hashes
+from marlstone.llm.hashing import SLICE, in_batches, joined, mixed, table_rows, widened, word_hashes
 from marlstone.llm.scratch import stash
 
 WINDOW = 13
@@ -195,7 +195,7 @@ def _prints(window: int, most: int, piece: int, groups: int, bits: int):
             yield from _sent([*rows, buffer.head(groups, marked)])
         if table is not None:
             parts = table_rows(table)
-            yield from _sent([(-1 - s, 2, s, c, b"", b"", b"") for s, c in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True) if c.strip(b"\0")])
+            yield from _sent([(-1 - s, 2, s, c, b"", b"", b"") for s, c in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True)])
 
     return run
 
@@ -205,7 +205,7 @@ def _company(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     out, sent, total = [], [], None
     for r in table.select(_NAMES).to_pylist():
         if r["kind"] == 2:
-            x = np.frombuffer(r["a"], "<u4").astype(np.int64)
+            x = widened(r["a"])
             total = x if total is None else total + x
         elif r["kind"] == 1:
             out.append(tuple(r.values()))
@@ -263,6 +263,24 @@ def _index() -> defaultdict:
     return defaultdict(itertools.count().__next__)
 
 
+def _written(suffixes: np.ndarray, words: list[bytes]) -> bytes:
+    """Rows of numbered words as the words that they use and numbers of these, low bytes and high bytes apart."""
+    used, number = np.unique(suffixes, return_inverse=True)
+    text = b" ".join(words[i] for i in used.tolist())
+    kind = np.dtype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    planes = np.ascontiguousarray(number.reshape(suffixes.shape).T.astype(kind).reshape(-1, 1).view(np.uint8).T)
+    sizes = np.array([kind.itemsize, len(text), planes.size], "<i8").tobytes()
+    return sizes + pa.compress(text + planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _read(data: bytes, index: defaultdict, window: int) -> np.ndarray:
+    """Such rows again, with the words' numbers in index."""
+    item, n, size = np.frombuffer(data, "<i8", 3).tolist()
+    raw = pa.decompress(data[24:], n + size, codec="zstd", asbytes=True)
+    number = np.frombuffer(raw, np.uint8, offset=n).reshape(item, -1).T.copy().view(f"<u{item}").reshape(window, -1).T
+    return _numbers(raw[:n].split(), index)[number]
+
+
 def nodes(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of numbered words in lexical order, and the longest common prefix of each with the one before (-1 for the first)."""
     order = np.lexsort(suffixes.T[::-1])
@@ -285,10 +303,10 @@ def _suffixes(window: int, most: int, piece: int, few: list[np.ndarray], bits: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in _filled(pieces(batches), window, most):
-            words = list(itertools.chain.from_iterable(x[3] for x in buffer.pieces))
             index = _index()
-            ids = _numbers(words, index)
-            hashes = word_hashes(list(index))[ids]
+            ids = np.concatenate([_numbers(x[3], index) for x in buffer.pieces])
+            distinct = list(index)
+            hashes = word_hashes(distinct)[ids]
             places = np.concatenate([x[4] + s for x, s in zip(buffer.pieces, buffer.window_start, strict=True)])
             of, at = buffer.word_of(places)
             hashed = sequence_hashes(hashes, (*_levels(window), window))
@@ -326,9 +344,8 @@ def _suffixes(window: int, most: int, piece: int, few: list[np.ndarray], bits: i
             extra_starts = np.searchsorted(np.sort(extra_group), group[by][edges[:-1]], "left") if len(edges) > 1 else []
             for a, b, c, d in zip(edges[:-1], edges[1:], extra_starts, extra_ends, strict=True):
                 x = by[a:b]
-                text = b" ".join(b" ".join(words[s : s + window]) for s in start[x].tolist())
                 docs = _packed(_rising(smallest[x].view(np.uint64) + np.uint64(1 << 63)))
-                out.append((int(group[x[0]]), 0, buffer.name, len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True), docs, _packed(_rising(first[x])), extra[c:d].tobytes()))
+                out.append((int(group[x[0]]), 0, buffer.name, _written(ids[start[x][:, None] + np.arange(window)], distinct), docs, _packed(_rising(first[x])), extra[c:d].tobytes()))
             yield from _sent([*out, buffer.head(groups, marked)])
 
     return run
@@ -343,8 +360,7 @@ def _trees(window: int):
             if r["kind"]:
                 out.append(tuple(r.values()))
             else:
-                text = pa.decompress(r["a"][8:], int.from_bytes(r["a"][:8], "little"), codec="zstd", asbytes=True)
-                parts.append(_numbers(text.split(), index).reshape(-1, window))
+                parts.append(_read(r["a"], index, window))
                 sent.append((r["buffer"], r["b"], r["c"], r["d"]))
         if sent:
             order, lcp = nodes(np.concatenate(parts))
