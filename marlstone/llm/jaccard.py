@@ -2,44 +2,56 @@
 
 Equal sets are one point, a label. The distance is 1 - Jaccard; two points link within the radius r = 1 - t.
 
-Pivots. Points within r of each other share an n-gram among the first n - ceil(t * n) + 1 of each, in any order of
-n-grams that all use. The order here goes from rare to frequent, by a table of counts of fixed size. For each such
-n-gram the least label that has it becomes a pivot, and all points that have it see this pivot; any other pivot is
-too far to matter. A point belongs to the regions of all pivots that it sees, which for most is none or its
-nearest one, and every two points that link meet in a region.
-
-Windows. A region first compares sketches: counts of a set's n-grams in CELLS buckets, whose L1 distance never
-exceeds the symmetric difference of the sets. Points without a possible partner leave, mostly those which share a
-passage only. The others' sets are read from their texts and the region is solved (`solve`): its pivot links all
-within r; by the triangle inequality a point at distance d from the pivot can only link to points from d - r to
-d + r, so only points that have points of another part of the region in this window go on with the next pivot,
-recursively. N-grams that no other point of the region has are dropped before each step, and points with too few left.
-
-Regions of more than REGION points or SHINGLES n-grams aren't brought together. Their distances to the pivot come
-from a join that can be split, those within r are linked, and what the window leaves is dealt to blocks, each pair
-of which is solved by itself.
+Who can see whom. Almost all distances in this space are 1, and no pivot tells points at distance 1 apart. So rare
+n-grams come first: points within r of each other share an n-gram among the first n - ceil(t * n) + 1 of each, in any
+order of n-grams that all use. The order here goes from rare to frequent, by a table of counts that grows with the
+input up to a bound. For each such n-gram the least label that has it is a pivot, and all points that have it see this
+pivot. Every two points that link see a common one. This decides only which points are looked at together; the rest
+is metric.
+
+Small regions. Points that see a pivot are its region. A region first compares sketches: counts of a set's n-grams in CELLS
+buckets, whose L1 distance never exceeds the symmetric difference of the sets. Points without a possible partner
+leave, mostly those which share a passage only. The others' sets are read from their texts and the region is solved
+in one task (`solve`): its pivot links all within r; by the triangle inequality a point at distance d from the pivot
+can only link to points from d - r to d + r, so only points that have points of another part of the region in this
+window go on with the next pivot, recursively. N-grams that no other point of the region has are dropped before
+each step, and points with too few left.
+
+Large regions, of more than REGION points or SHINGLES n-grams (`voronoi`), are split by PIVOTS or so fresh pivots, drawn
+by hash. The distances to them are exact, taken in buckets of bounded size. What is within r of a pivot is linked to
+it, which joins a group of near copies at once, however large. Points whose nearest pivot is at most INSIDE away
+belong to its cell (INSIDE: 1 - 2r), and all points are replicas in each cell whose pivot is at most 2r farther away than their own
+nearest one, and at most INSIDE + r: if y links to x, whose nearest pivot is c at d(x,c) <= INSIDE, then d(y,c) <=
+d(x,c) + r, and d(x,c) <= d(x,n) <= d(y,n) + r for y's nearest pivot n, so y is in the cell of c too. Points farther
+than INSIDE from every pivot meet each other in a cell of their own. Pivots have met all and leave; what is all one
+part needs no comparing. The work of a cell is the number of its pairs of different parts. Where cells have less in
+all than the region without its pivots, they take its place, else it goes on whole, with pivots from its small parts.
+Small cells are solved, large ones split again. Where neither takes a fifth from the work, as between points that are
+all far from each other, pivots don't help; such a region is dealt to blocks, each pair of which is solved by itself.
 
 Sets are compared by 64-bit hashes of n-grams and of whole sets; different ones agree with a chance of 2^-64.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marlstone.llm.components import components
 from marlstone.llm.hashing import in_batches, joined, mixed, summed, table_rows, word_hashes
 from marlstone.llm.scratch import stash
 
-#: Entries of the table of counts, and buckets of a sketch.
-TABLE_BITS, CELLS = 20, 256
-#: The most points and n-grams of a region that one task solves; points of a block.
-REGION, SHINGLES, BLOCK = 2048, 4_000_000, 1024
+#: Bits of the table of counts, one slot for some 80 n-grams between these bounds, and buckets of a sketch.
+TABLE_BITS, CELLS = (16, 23), 256
+#: The most points and n-grams of a region that one task solves; points of a bucket or block; pivots of a large region.
+REGION, SHINGLES, BLOCK, PIVOTS = 512, 4_000_000, 512, 24
+#: A distance from which on a point belongs to no pivot's cell, in radii below 1.
+INSIDE = 2
 #: The most ids of documents to be read again that are broadcast; more are joined by a shuffle.
 BROADCAST = 1 << 20
 
@@ -66,11 +78,11 @@ def label_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _slot(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _slot(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _digest(words: int):
+def _digest(words: int, bits: int):
     """Rows of documents, and at the end of a task those of its table of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +90,7 @@ def _digest(words: int):
         for batch in in_batches(batches, 1024):
             sets = [shingles(x, words) for x in batch.column(1).to_pylist()]
             if (every := [s for s in sets if len(s)]) != []:
-                counts = np.bincount(_slot(np.concatenate(every)), minlength=1 << TABLE_BITS)
+                counts = np.bincount(_slot(np.concatenate(every), bits), minlength=1 << bits)
                 table = counts if table is None else table + counts
             none = pa.nulls(len(sets))
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([label_of(s) if len(s) else None for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())]
@@ -91,7 +103,7 @@ def _digest(words: int):
     return run
 
 
-def _sites(words: int, num: int, den: int, order: np.ndarray):
+def _sites(words: int, num: int, den: int, order: np.ndarray, bits: int):
     """Per label a row with its sketch, and one for each of its first n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +116,11 @@ def _sites(words: int, num: int, den: int, order: np.ndarray):
                     continue
                 done.add(label)
                 first = len(s) - -(-num * len(s) // den) + 1
-                gs.append(s[np.argsort(order[_slot(s)], kind="stable")[:first]])
+                gs.append(s[np.argsort(order[_slot(s, bits)], kind="stable")[:first]])
                 of.append(np.full(len(gs[-1]), label, np.int64))
                 labels.append(label)
                 sizes.append(len(s))
-                sketches.append(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes())
+                sketches.append(np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
             if labels:
                 g, x = np.concatenate(gs).view(np.int64), np.concatenate(of)
                 a, b = len(labels), len(g)
@@ -129,10 +141,10 @@ def _near(n: np.ndarray, m: int, difference: np.ndarray, num: int, den: int) ->
 def _hopeful(num: int, den: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy()
-        x = np.stack([np.frombuffer(s, "<u4") for s in table.column("sketch").to_pylist()]).astype(np.int64)
+        x = np.stack([np.frombuffer(s, np.uint8) for s in table.column("sketch").to_pylist()]).astype(np.int16)
         keep = np.zeros(len(n), bool)
         for i in range(len(n) - 1):
-            near = _near(n[i + 1 :], int(n[i]), np.abs(x[i + 1 :] - x[i]).sum(axis=1), num, den)
+            near = _near(n[i + 1 :], int(n[i]), np.abs(x[i + 1 :] - x[i]).sum(axis=1, dtype=np.int64), num, den)
             keep[i + 1 :] |= near
             keep[i] |= near.any()
         return table.select(["p", "label", "n"]).filter(pa.array(keep))
@@ -140,13 +152,13 @@ def _hopeful(num: int, den: int):
     return run
 
 
-def solve(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs that join all sets that link directly or over others; exact. See the module on how."""
+def solve(sets: list[np.ndarray], num: int, den: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that join all sets that link directly or over others; exact. See the module on how. parts: numbers of what is joined already."""
     n = np.array([len(s) for s in sets], np.int64)
     value = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), n)
     value = np.unique(value, return_inverse=True)[1]
-    here, part, links = np.ones(len(sets), bool), np.arange(len(sets)), []
+    here, part, links = np.ones(len(sets), bool), np.arange(len(sets)) if parts is None else parts.copy(), []
     r = 1 - num / den + 1e-9
     while True:
         while True:  # what nobody else here has can't be common
@@ -181,7 +193,8 @@ def solve(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
 def _solved(num: int, den: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         labels = table.column("label").to_pylist()
-        links = solve([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], num, den)
+        parts = np.unique(table.column("part").to_numpy(), return_inverse=True)[1] if "part" in table.column_names else None
+        links = solve([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], num, den, parts)
         return pa.table({"a": pa.array([labels[i] for i, _ in links], pa.int64()), "b": pa.array([labels[j] for _, j in links], pa.int64())})
 
     return run
@@ -204,27 +217,115 @@ def _sets(words: int):
     return run
 
 
-@F.arrow_udf(T.LongType())
-def _common(a: pa.Array, b: pa.Array) -> pa.Array:
-    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
-    return pa.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in pairs], pa.int64())
+def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections and unions of each set with each pivot."""
+    grams, at = np.unique(np.concatenate(pivots), return_inverse=True)
+    has = np.zeros((len(grams) + 1, len(pivots)), np.int32)  # the last row is for n-grams that no pivot has
+    has[at, np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])] = 1
+    common = np.empty((len(sets), len(pivots)), np.int64)
+    for i, s in enumerate(sets):
+        slot = np.searchsorted(grams, s)
+        slot[slot == len(grams)] = 0
+        slot = np.where(grams[slot] == s, slot, len(grams))
+        common[i] = has[slot].sum(axis=0)
+    n, m = np.array([len(s) for s in sets]), np.array([len(p) for p in pivots])
+    return common, n[:, None] + m[None, :] - common
+
+
+_PLACED = "region long, label long, part long, pivot long, cell long, linked boolean"
+
+
+def _placed(num: int, den: int):
+    """Members of a bucket against the region's pivots: a row for each cell that a member belongs to and each pivot it links to."""
+
+    def run(key: tuple[pa.Scalar, ...], members: pa.Table, pivots: pa.Table) -> pa.Table:
+        none = pa.table({n: pa.array([], t) for n, t in (("region", pa.int64()), ("label", pa.int64()), ("part", pa.int64()), ("pivot", pa.int64()), ("cell", pa.int64()), ("linked", pa.bool_()))})
+        if not members.num_rows or not pivots.num_rows:
+            return none
+        region, label, part = (members.column(c).to_numpy() for c in ("region", "label", "part"))
+        chosen = np.argsort(pivots.column("label").to_numpy(), kind="stable")
+        at = pivots.column("label").to_numpy()[chosen]
+        shingles = pivots.column("shingles").to_pylist()
+        common, union = distances([np.frombuffer(x, np.uint64) for x in members.column("shingles").to_pylist()], [np.frombuffer(shingles[i], np.uint64) for i in chosen])
+        d = 1 - common / union
+        linked = common * den >= num * union
+        r, nearest = 1 - num / den, d.min(axis=1, keepdims=True)
+        far = 1 - INSIDE * r
+        inside = (d <= nearest + 2 * r + 1e-9) & (d <= far + r + 1e-9)
+        away = nearest[:, 0] > far  # from every pivot: with each other as well
+        met = np.isin(label, at)  # a pivot has met everyone
+        inside[met], away[met] = False, False
+        linked &= label[:, None] != at[None, :]
+        i, j = np.nonzero(inside | linked)
+        name = lambda region, pivot: mixed(region.astype(np.uint64) * np.uint64(3) ^ mixed(pivot.astype(np.uint64))).view(np.int64)
+        cell = pa.array(name(region[i], at[j]), mask=~inside[i, j])
+        k = np.flatnonzero(away)
+        rest = pa.table({"region": region[k], "label": label[k], "part": part[k], "pivot": pa.nulls(len(k)).cast(pa.int64()), "cell": name(region[k], region[k] + 1), "linked": np.zeros(len(k), bool)})
+        return pa.concat_tables([pa.table({"region": region[i], "label": label[i], "part": part[i], "pivot": at[j], "cell": cell, "linked": linked[i, j]}), rest])
 
+    return run
 
-def _large(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of the regions (p, label, n) that are too large for a task."""
-    left = members.join(sets, "label").select("p", "label", "n", "shingles")
-    right = sets.select(F.col("label").alias("_p"), F.col("shingles").alias("_s"))
-    far = left.join(right, left["p"] == right["_p"]).select("p", "label", "n", (F.length("_s") / 8).cast("long").alias("m"), _common("shingles", "_s").alias("c"))
-    far = stash(far.select("p", "label", (F.col("c") * den >= num * (F.col("n") + F.col("m") - F.col("c"))).alias("linked"), (1 - F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("d")), "far")
-    outer = far.where(~F.col("linked")).groupBy("p").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n_outer"))
-    r = 1 - num / den + 1e-9
-    window = far.join(stash(outer, "outer"), "p").where(~F.col("linked") | F.col("d").between(F.col("low") - r, F.col("high") + r)).where(F.col("label") != F.col("p"))
-    window = stash(window.select("p", "label"), "window")
-    blocks = stash(window.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "blocks")
-    x = window.join(blocks, "p").select("p", "label", "k", F.pmod(F.xxhash64("label"), F.col("k")).cast("int").alias("i"))
-    x = x.select("p", "label", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).select("p", "label", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    met = x.join(sets, "label").groupBy("p", "i", "j").applyInArrow(_solved(num, den), "a long, b long")
-    return met.unionAll(far.where(F.col("linked") & (F.col("label") != F.col("p"))).select(F.col("p").alias("a"), F.col("label").alias("b")))
+
+def _blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of regions (region, label, part) that no pivot splits: every pair of blocks is solved."""
+    count = stash(rows.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "blocks")
+    x = rows.join(count, "region").select("*", F.pmod(F.xxhash64("label"), F.col("k")).cast("int").alias("i"))
+    x = x.select("region", "label", "part", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).select("region", "label", "part", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return x.join(sets, "label").groupBy("region", "i", "j").applyInArrow(_solved(num, den), "a long, b long")
+
+
+def _measured(rows: DataFrame, *by: str) -> DataFrame:
+    """For each group of rows: c points, s n-grams, its largest part and that one's points, a label of its smallest part, and the pairs of different parts."""
+    parts = rows.groupBy(*by, "part").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.min("label").alias("label"))
+    c = F.col("c").cast("double")
+    return parts.groupBy(*by).agg(F.sum("c").alias("c"), F.sum("n").alias("s"), F.max_by("part", F.struct("c", "part")).alias("big"), F.max("c").alias("most"), F.min_by("label", F.struct("c", "part")).alias("least"), (F.sum(c) * F.sum(c) - F.sum(c * c)).alias("work"))
+
+
+def voronoi(rows: DataFrame, sets: DataFrame, num: int, den: int, region: int = REGION, max_shingles: int = SHINGLES, pivots: int = PIVOTS) -> DataFrame:
+    """Links of regions (region, label) that are too large for a task; sets: label, shingles. See the module on how.
+
+    A loop over splits; each takes a fifth from the work of what it goes on with at least, and is materialised.
+    """
+    size = sets.select("label", (F.length("shingles") / 8).cast("long").alias("n"))
+    rows = stash(rows.select("region", "label", F.col("label").alias("part")).join(size, "label"), "large")
+    edges = None
+    for turn in itertools.count():
+        regions = stash(_measured(rows, "region"), "regions")
+        eligible, pool = (F.col("part") != F.col("big")) | (F.col("most") == 1), F.when(F.col("most") == 1, F.col("c")).otherwise(F.col("c") - F.col("most"))
+        draw = eligible & (F.pmod(F.xxhash64("label", "region", F.lit(turn)), F.lit(1 << 30)) * pool < pivots * (1 << 30))
+        bucket = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / max_shingles)).cast("int")
+        x = rows.join(regions, "region").select("region", "label", "part", "n", (draw | (F.col("label") == F.col("least"))).alias("pivot"), bucket.alias("k"))
+        chosen = stash(x.where("pivot").select("region", "label", "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("bucket")).join(sets, "label"), "pivots")
+        members = x.select("region", "label", "part", F.pmod(F.xxhash64("label"), F.col("k")).cast("int").alias("bucket")).join(sets, "label")
+        placed = stash(members.groupBy("region", "bucket").cogroup(chosen.groupBy("region", "bucket")).applyInArrow(_placed(num, den), _PLACED), "placed")
+        linked = placed.where("linked")
+        found = linked.select(F.col("label").alias("a"), F.col("pivot").alias("b"))
+        edges = found if edges is None else edges.unionAll(found)
+        at = chosen.where("bucket = 0").select("region", F.col("label").alias("pivot"), F.col("part").alias("b"))
+        parts = components(linked.join(at, ["region", "pivot"]).select(F.col("part").alias("a"), "b"))
+
+        def renamed(x: DataFrame) -> DataFrame:
+            return x.join(parts, x["part"] == parts["node"], "left").withColumn("part", F.coalesce("root", "part")).drop("node", "root")  # noqa: B023
+
+        whole = x.where("not pivot").select("region", F.col("region").alias("cell"), "label", "part", "n")
+        cells = placed.where("cell is not null").select("region", "cell", "label", "part").join(size, "label").select(*whole.columns)
+        going = stash(renamed(cells.unionAll(whole)), "going")
+        todo = stash(_measured(going, "region", "cell").where("work > 0").withColumn("split", F.col("cell") != F.col("region")), "todo")
+        work = todo.groupBy("region").agg(F.coalesce(F.sum(F.when(F.col("split"), F.col("work"))), F.lit(0)).alias("cells"), F.coalesce(F.sum(F.when(~F.col("split"), F.col("work"))), F.lit(0)).alias("whole"))
+        work = work.join(regions.select("region", "work", F.col("c").alias("before")), "region")
+        plan = stash(work.select("region", (F.col("cells") < F.col("whole")).alias("by_cells"), ((F.least("cells", "whole") > 0.8 * F.col("work")) & (F.col("before") > region)).alias("stuck")), "plan")
+        todo = todo.join(plan, "region").where((F.col("split") == F.col("by_cells")) & ~F.col("stuck"))
+        todo = stash(todo.select("region", "cell", ((F.col("c") <= region) & (F.col("s") <= max_shingles)).alias("small")), "cells")
+        next_ = going.join(todo, ["region", "cell"])
+        solved = stash(next_.where("small").select("cell", "label", "part").join(sets, "label").groupBy("cell").applyInArrow(_solved(num, den), "a long, b long"), "solved")
+        edges = edges.unionAll(solved)
+        stuck = plan.where("stuck")
+        if not stuck.isEmpty():
+            lost = going.where(F.col("cell") == F.col("region")).join(stuck, "region").select("region", "label", "part")
+            edges = edges.unionAll(stash(_blocks(lost, sets, num, den), "blocked"))
+        rows = stash(next_.where("not small").select(F.col("cell").alias("region"), "label", "part", "n"), "large")
+        if rows.isEmpty():
+            return edges
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), region: int = REGION, max_shingles: int = SHINGLES) -> DataFrame:
@@ -236,13 +337,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     num, den = threshold
     narrow = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("binary").alias("text"))
-    first = stash(narrow.mapInArrow(_digest(words), "doc_id long, n long, label long, slice int, counts binary"), "digests")
-    counts = summed(first.where("slice is not null").select("slice", "counts"), 1 << TABLE_BITS)
+    letters = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = min(max(TABLE_BITS[0], (letters // 512).bit_length()), TABLE_BITS[1])
+    first = stash(narrow.mapInArrow(_digest(words, bits), "doc_id long, n long, label long, slice int, counts binary"), "digests")
+    counts = summed(first.where("slice is not null").select("slice", "counts"), 1 << bits)
     order = np.round(8 * np.log2(counts + 1)).astype(np.uint8)  # classes of frequency; n-grams of one class stand by hash
     rows = first.where("slice is null").select("doc_id", "n", "label")
     classes = stash(rows.where("label is not null and doc_id is not null").groupBy("label").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
 
-    prefix = stash(narrow.where("doc_id is not null").select("text").mapInArrow(_sites(words, num, den, order), "g long, label long, n long, sketch binary"), "prefixes")
+    prefix = stash(narrow.where("doc_id is not null").select("text").mapInArrow(_sites(words, num, den, order, bits), "g long, label long, n long, sketch binary"), "prefixes")
     at = prefix.where("g is not null").select("g", "label")
     sites = stash(at.groupBy("g").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("g", "p"), "sites")
     pairs = stash(at.join(sites, "g").where("label <> p").select("p", "label").distinct(), "pairs")
@@ -261,9 +364,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = narrow.join(known, narrow["doc_id"] == again["first"]).select("text", "label")
     sets = stash(texts.mapInArrow(_sets(words), "label long, shingles binary"), "sets")
     edges = left.where("not large").select("p", "label").join(sets, "label").groupBy("p").applyInArrow(_solved(num, den), "a long, b long")
-    big = left.where("large")
+    big = left.where("large").select(F.col("p").alias("region"), "label")
     if not big.isEmpty():
-        edges = edges.unionAll(_large(big, sets, num, den))
+        edges = edges.unionAll(voronoi(big, sets, num, den, region, max_shingles))
     root = components(edges)
 
     part = stash(classes.join(root, classes["label"] == root["node"], "left").select("label", "first", F.coalesce("root", "label").alias("root")), "rooted")

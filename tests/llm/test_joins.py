@@ -101,6 +101,48 @@ def test_jaccard_components(documents, monkeypatch, seed, region):
     assert {tuple(r) for r in out} == brute_jaccard(rows, 4, 85, 100)
 
 
+def mutants(rng, n, families, length, most):
+    """Families of texts that differ from their first in up to `most` words."""
+    rows = []
+    for i in range(n):
+        f = rng.randrange(families)
+        w = [f"f{f}w{j}" for j in range(length)]
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("pivots", [8, 24])
+def test_voronoi_without_blocks(documents, monkeypatch, pivots):
+    """Groups of near copies far beyond a region's bound are joined by their pivots' cells alone."""
+    monkeypatch.setattr(jaccard.voronoi, "__defaults__", (*jaccard.voronoi.__defaults__[:2], pivots))
+    monkeypatch.setattr(jaccard, "_blocks", None)
+    rows = mutants(random.Random(6), 400, 3, 60, 4)
+    out = jaccard.jaccard_components(documents([(i, t, "en", "s") for i, t in rows]), words=2, threshold=(80, 100), region=20).collect()
+    assert {tuple(r) for r in out} == brute_jaccard(rows, 2, 80, 100)
+
+
+def test_voronoi_of_points_far_from_each_other(documents):
+    """Where no pivot splits a region, blocks give the same."""
+    rng = random.Random(8)
+    lines = [" ".join(f"l{k}w{j}" for j in range(6)) for k in range(30)]
+    rows = [(i, "\n".join(rng.sample(lines, rng.randint(6, 9)))) for i in range(150)] + [(500 + i, "\n".join(lines[i : i + 9])) for i in range(20)]
+    rows += [(600 + i, t + " end") for i, t in rows[:10]]
+    out = jaccard.jaccard_components(documents([(i, t, "en", "s") for i, t in rows]), words=2, threshold=(80, 100), region=4).collect()
+    assert {tuple(r) for r in out} == brute_jaccard(rows, 2, 80, 100)
+
+
+def test_distances():
+    rng = random.Random(2)
+    sets = [set(rng.sample(range(100), rng.randint(1, 60))) for _ in range(40)]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    common, union = jaccard.distances(arrays, arrays[:7])
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:7]):
+            assert (common[i, j], union[i, j]) == (len(x & y), len(x | y))
+
+
 def test_jaccard_hard_cases(documents):
     rows = [*enumerate(HARD), (5, HARD[5]), (None, "one two three four five"), (None, None), (90, "One TWO three four five"), (91, "one two  three\tfour five"), (92, "É one"), (93, "é one")]
     out = jaccard.jaccard_components(documents([(i, t, None, None) for i, t in rows])).collect()
