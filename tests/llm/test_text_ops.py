@@ -431,6 +431,52 @@ def test_secret_layers_wherever_they_start():
     assert any(path == "base64>gzip" and t[s[0] : s[2]] == gz for t in ["x " + gz] for s, path in secrets.scan(t)[1].items())
 
 
+def test_secret_spans_of_nested_layers():
+    """Random nestings of encodings that keep places, against the place followed by hand through each of them."""
+    rng = random.Random(12)
+    encode = {
+        "url": lambda t, a, b: ("".join(f"%{ord(c):02X}" for c in t), 3 * a, 3 * b),
+        "unicode": lambda t, a, b: ("".join(f"\\u{ord(c):04x}" for c in t), 6 * a, 6 * b),
+        "base64": lambda t, a, b: (base64.b64encode(t.encode()).decode(), a * 8 // 6, -(-b * 8 // 6)),
+    }
+    for _ in range(60):
+        inner = "token=" + "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(rng.randint(12, 30)))
+        t, a = "see " + inner + " now", 4
+        b = a + len(inner)
+        chain = [rng.choice(list(encode)) for _ in range(rng.randint(1, 4))]
+        for name in chain:
+            t, a, b = encode[name](t, a, b)
+            head = rng.choice(["", "at ", "in a note: "])
+            t, a, b = f"{head}{t}{rng.choice(['', ' end', '. And so on'])}", a + len(head), b + len(head)
+        found = secrets.scan(t)[1]
+        assert any((x, k, y) == (a, 0, b) for x, k, y in found), (chain, t[:200], (a, b), list(found)[:9])
+
+
+def test_secret_streams_that_expand(monkeypatch):
+    """Matches in windows, at their ends and in layers inside; a long stream takes the memory of few windows."""
+    import tracemalloc
+
+    inner = "api_key = ABCDEFGHIJKLMNOP1234"
+    coded = base64.b64encode(inner.encode())
+    with monkeypatch.context() as m:
+        m.setattr(secrets, "WINDOW", 4096)
+        m.setattr(secrets, "OVERLAP", 512)
+        m.setattr(secrets, "TAKEN", 1000)
+        for at in [*range(4000, 4200, 9), 0, 20_000, 39_000]:
+            for x in (inner.encode(), coded):
+                for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+                    data = b". " * (at // 2) + x + b" ." * ((40_000 - at) // 2)
+                    assert _found_in(base64.b64encode(pack(data)).decode(), inner), (at, x)
+    bomb = gzip.compress(b"\n" * (48 << 20) + coded + b"\n" * (16 << 20))
+    text = base64.b64encode(gzip.compress(bomb)).decode()
+    tracemalloc.start()
+    try:
+        assert _found_in(text, inner)
+        assert tracemalloc.get_traced_memory()[1] < 160 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_secret_frames(hard, none):
     out = secrets.secret_spans(hard).collect()
     assert len(out) == hard.count()
