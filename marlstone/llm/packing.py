@@ -1,12 +1,13 @@
 """Packing of documents into sequences of fixed length by a grouping genetic algorithm.
 
-Pieces are dealt at random to shards of bounded size. Each shard is worked on by ISLANDS islands, groups of their
-own in the shuffle: an island breeds packings (a child takes over well-filled bins of one parent whole, drops the
-other parent's bins that share a piece with them, and puts what lost its bin back by best fit, longest first) and
-sends its elite, the best packing, to the next island of the ring before the next epoch. The best packing of a
-shard stands, but for its worst-filled bins: their pieces go on to a next level with fewer shards, down to one,
-so the rounding loss of a shard isn't paid by the whole. A packing as short as the sum of lengths allows ends a
-shard's search at once.
+Pieces are dealt at random to shards of bounded size, and a shard is first packed by best fit, longest first. A
+packing as short as the sum of lengths allows can't be bettered and ends a shard's search. Every other shard is
+worked on by ISLANDS islands, groups of their own in the shuffle, each with a population of packings that it keeps from
+epoch to epoch. An island breeds: a child takes over well-filled bins of one parent whole, drops the other parent's
+bins that share a piece with them, and puts what lost its bin back by best fit, longest first. After each epoch its
+elite, the best packing, joins the population of the next island of the ring. The best packing of a shard stands, but for
+its worst-filled bins: their pieces go on to a next level with fewer shards, down to one, so the rounding loss of a
+shard isn't paid by the whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from marlstone.llm.worker import kept
 
 LIMIT, END = 4096, 1
 #: Pieces of a shard (at most about twice that), islands of a shard, epochs, children per epoch, packings kept.
-SHARD, ISLANDS, EPOCHS, CHILDREN, POPULATION = 8192, 2, 2, 10, 6
+SHARD, ISLANDS, EPOCHS, CHILDREN, POPULATION = 8192, 4, 3, 12, 6
 #: Of a shard's bins, one in so many goes on to the next level, the worst filled.
 RESIDUE = 24
 
@@ -70,7 +71,8 @@ class Words:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.marks = {c: self._whole([c])[0] for c in ".,;:!?"}
-        samples = ["Abc", "straße", "Œuvre", "ÉTÉ", "niño", "thththat", "x", "ÿ", "a" * 70]
+        letters = [c for c in map(chr, range(0x41, 0x180)) if LATIN.fullmatch(c)]
+        samples = ["Abc", "straße", "Œuvre", "ÉTÉ", "niño", "thththat", "x", "ÿ", "a" * 70, *(f"{c}a{c}on" for c in letters)]
         self.direct = all(self._whole([f"{w}{c}"])[0] == self._latin(w.lower()) + self.marks.get(c, b"") for w in samples for c in ["", *self.marks])
 
     def _whole(self, words: list[str]) -> list[bytes]:
@@ -172,6 +174,13 @@ def _value(bins: Bins, size: list[int], limit: int) -> tuple[int, float]:
     return len(bins), -sum((sum(size[i] for i in b) / limit) ** 2 for b in bins)
 
 
+def best_fit(size: list[int], limit: int) -> Bins:
+    """size is sorted from long to short."""
+    bins: Bins = []
+    _fit(bins, [], list(range(len(size))), size, limit)
+    return bins
+
+
 def _cross(a: Bins, b: Bins, size: list[int], limit: int, rng: random.Random) -> Bins:
     filled = sorted(b, key=lambda x: -sum(size[i] for i in x))
     best = filled[: max(1, len(filled) // 2)]
@@ -192,65 +201,91 @@ def _cross(a: Bins, b: Bins, size: list[int], limit: int, rng: random.Random) ->
     return child
 
 
-def evolve(size: list[int], limit: int, start: list[Bins], seed: int, children: int = CHILDREN, population: int = POPULATION) -> Bins:
-    """A packing of the items; size is sorted from long to short. start: packings to begin with."""
+def evolve(size: list[int], limit: int, start: list[Bins], seed: int, children: int = CHILDREN, population: int = POPULATION) -> list[Bins]:
+    """Packings of the items, the best first; size is sorted from long to short. start: the population to begin with."""
     rng = random.Random(seed)
     least = -(-sum(size) // limit)
-    pool = list(start)
-    if not pool:
+    pool = [(_value(x, size, limit), x) for x in start or [best_fit(size, limit)]]
+    pool.sort(key=lambda x: x[0])
+    while len(pool) < population and pool[0][0][0] > least:  # best fit in an order that is only roughly from long to short
+        blur = limit // 2 ** rng.randint(2, 6)
         bins: Bins = []
-        _fit(bins, [], list(range(len(size))), size, limit)
-        pool.append(bins)
-    if min(map(len, pool)) > least:
-        while len(pool) < population:  # best fit in an order that is only roughly from long to short
-            blur = limit // 2 ** rng.randint(2, 6)
-            bins = []
-            _fit(bins, [], sorted(range(len(size)), key=lambda i: -size[i] + rng.randrange(blur + 1)), size, limit)
-            pool.append(bins)
-    pool.sort(key=lambda x: _value(x, size, limit))
+        _fit(bins, [], sorted(range(len(size)), key=lambda i: -size[i] + rng.randrange(blur + 1)), size, limit)
+        bisect.insort(pool, (_value(bins, size, limit), bins), key=lambda x: x[0])
     for _ in range(children):
-        if len(pool[0]) <= least:
+        if pool[0][0][0] <= least or len(pool) < 2:
             break
         a, b = rng.sample(pool, 2)
-        pool.append(_cross(a, b, size, limit, rng))
-        pool.sort(key=lambda x: _value(x, size, limit))
+        child = _cross(a[1], b[1], size, limit, rng)
+        if (value := _value(child, size, limit)) not in [v for v, _ in pool]:  # else most likely there already
+            bisect.insort(pool, (value, child), key=lambda x: x[0])
         del pool[population:]
-    return pool[0]
+    return [x for _, x in pool[:population]]
 
 
 # ---- islands ----
 
-_ITEM = "uid long, length long, shard long, island int, source int, bin int"
+#: bins: the bin of the piece in each packing of the population, the best first
+_ITEM = "uid long, length long, shard long, island int, source int, bins array<int>"
+
+
+def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["length", "uid"], ascending=[False, True], kind="stable")
+
+
+def _columns(packings: list[Bins], n: int) -> list[list[int]]:
+    out = np.empty((n, len(packings)), np.int32)
+    for k, bins in enumerate(packings):
+        for b, x in enumerate(bins):
+            out[x, k] = b
+    return out.tolist()
+
+
+def _packings(column: pd.Series) -> list[Bins]:
+    table = np.stack([np.asarray(x, np.int32) for x in column])
+    out = []
+    for bins in table.T:
+        order = np.argsort(bins, kind="stable")
+        out.append([x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bins[order])) + 1)])
+    return out
+
+
+def _begin(limit: int):
+    """Shards packed by best fit; done if no packing is shorter."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = _sorted(rows)
+        size = rows["length"].astype(int).tolist()
+        bins = best_fit(size, limit)
+        return pd.DataFrame({"uid": rows["uid"], "length": rows["length"], "shard": rows["shard"], "bins": _columns([bins], len(size)), "done": len(bins) <= -(-sum(size) // limit)})
+
+    return run
+
 
+def _epoch(limit: int, islands: int, epoch: int, seed: int, children: int, population: int):
+    """An island's population and its guest from the island before, further bred; and its elite for the next one."""
 
-def _epoch(limit: int, islands: int, epoch: int, seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(rows["shard"].iloc[0]), int(rows["island"].iloc[0])
-        rows = rows.sort_values(["length", "uid"], ascending=[False, True], kind="stable")
-        start, items = [], None
-        for _, own in rows.groupby("source", sort=True):
-            items = own
-            if epoch:
-                bins: dict[int, list[int]] = {}
-                for i, b in enumerate(own["bin"].to_numpy()):
-                    bins.setdefault(int(b), []).append(i)
-                start.append(list(bins.values()))
-        best = evolve(items["length"].astype(int).tolist(), limit, start, hash((seed, shard, island, epoch)))
-        bin_of = np.empty(len(items), np.int32)
-        for b, x in enumerate(best):
-            bin_of[x] = b
-        out = pd.DataFrame({"uid": items["uid"].to_numpy(), "length": items["length"].to_numpy(), "shard": shard, "island": island, "source": island, "bin": bin_of})
-        return pd.concat([out, out.assign(island=(island + 1) % islands)]) if islands > 1 else out  # the elite stays and goes on
+        rows = _sorted(rows)
+        own, guests = rows[rows["source"] == island], rows[rows["source"] != island]
+        start = _packings(own["bins"]) + (_packings(guests["bins"]) if len(guests) else [])
+        pool = evolve(own["length"].astype(int).tolist(), limit, start, hash((seed, shard, island, epoch)), children, population)
+        out = pd.DataFrame({"uid": own["uid"].to_numpy(), "length": own["length"].to_numpy(), "shard": shard, "island": island, "source": island, "bins": _columns(pool, len(own))})
+        if islands == 1:
+            return out
+        return pd.concat([out, out.assign(island=(island + 1) % islands, bins=_columns(pool[:1], len(own)))])
 
     return run
 
 
 def _choose(limit: int, level: int, last: bool, residue: int):
-    """Of a shard's packings the best, with each piece's place; bin -1 for what goes on to the next level."""
+    """Of a shard's packings the best, with each piece's place; -1 for what goes on to the next level."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
         rows = rows[rows["island"] == rows["source"]]
+        rows = rows.assign(bin=rows["bins"].map(lambda x: x[0]))
         own = min((g for _, g in rows.groupby("island", sort=True)), key=lambda g: (g["bin"].nunique(), -float(((g.groupby("bin")["length"].sum() / limit) ** 2).sum())))
         own = own.sort_values(["bin", "length", "uid"], ascending=[True, False, True], kind="stable")
         fill = own.groupby("bin")["length"].sum()
@@ -262,19 +297,23 @@ def _choose(limit: int, level: int, last: bool, residue: int):
     return run
 
 
-def pack(items: DataFrame, limit: int = LIMIT, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
+def pack(items: DataFrame, limit: int = LIMIT, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, children: int = CHILDREN, population: int = POPULATION, seed: int = 0) -> DataFrame:
     """From rows (uid, length) with length from 1 to limit: uid, length, sequence_id and offset. uid must be unique.
 
     Loops over levels; each level's remaining rows are materialised, so a lost executor costs one level at most.
+    Pieces of one length are told apart by uid, and of equally good packings the first is taken, so a rerun gives the same.
     """
     full = items.where(F.col("length") >= limit).select("uid", "length", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out, rest, level = full, items.where(F.col("length") < limit).select("uid", "length"), 0
     while n := rest.count():
         shards = -(-n // shard)
-        rows = rest.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(seed + level)), F.lit(shards)).alias("shard"), F.explode(F.array(*map(F.lit, range(islands)))).alias("island"))
-        rows = rows.select("*", F.col("island").alias("source"), F.lit(0).alias("bin"))
+        rows = rest.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(seed + level)), F.lit(shards)).alias("shard"))
+        begun = stash(rows.groupBy("shard").applyInPandas(_begin(limit), "uid long, length long, shard long, bins array<int>, done boolean"), f"begun{level}")
+        rows = begun.where("not done").select("uid", "length", "shard", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), "bins")
+        rows = rows.select("uid", "length", "shard", "island", F.col("island").alias("source"), "bins")
         for epoch in range(epochs):
-            rows = rows.groupBy("shard", "island").applyInPandas(_epoch(limit, islands, epoch, seed), _ITEM)
+            rows = rows.groupBy("shard", "island").applyInPandas(_epoch(limit, islands, epoch, seed, children, population), _ITEM)
+        rows = rows.unionByName(begun.where("done").select("uid", "length", "shard", F.lit(0).alias("island"), F.lit(0).alias("source"), "bins"))
         done = rows.groupBy("shard").applyInPandas(_choose(limit, level, shards == 1, RESIDUE), "uid long, length long, sequence_id long, offset long")
         done = stash(done, f"packed{level}")
         out = out.unionByName(done.where(F.col("sequence_id") >= 0))

@@ -591,14 +591,52 @@ def test_packing_hard_cases(spark, hard, none, monkeypatch):
 
 def test_evolution_beats_or_equals_best_fit():
     rng = random.Random(5)
+    gained = 0
     for seed in range(5):
         size = sorted((rng.randint(150, 500) for _ in range(120)), reverse=True)
-        bins, free = [], []
-        packing._fit(bins, free, list(range(len(size))), size, 1000)
-        best = packing.evolve(size, 1000, [], seed, children=40)
-        assert sorted(i for b in best for i in b) == list(range(len(size)))
-        assert all(sum(size[i] for i in b) <= 1000 for b in best)
-        assert len(best) <= len(bins)
+        first = packing.best_fit(size, 1000)
+        for best in (pool := packing.evolve(size, 1000, [], seed, children=40)):
+            assert sorted(i for b in best for i in b) == list(range(len(size)))
+            assert all(sum(size[i] for i in b) <= 1000 for b in best)
+        assert len(pool[0]) == min(map(len, pool)) <= len(first)
+        assert len(packing.evolve(size, 1000, pool, seed, children=10)[0]) <= len(pool[0])  # what was bred stays
+        gained += len(first) - len(pool[0])
+    assert gained > 0
+
+
+def triplets(rng, n, limit):
+    """Lengths that fill n sequences to the last token, three each, where best fit does not."""
+    out = []
+    for _ in range(n):
+        a = rng.randint(int(limit * 0.38), int(limit * 0.49))
+        b = rng.randint(int(limit * 0.25), (limit - a) // 2)
+        out += [a, b, limit - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_islands_gain_on_best_fit(spark):
+    """Through the shuffle: shards where best fit isn't the least, islands, epochs and migration."""
+    size = triplets(random.Random(7), 120, 4096)
+    items = spark.createDataFrame(list(enumerate(size)), "uid long, length long")
+
+    def sequences(**options):
+        rows = packing.pack(items, **options).collect()
+        assert sorted((r["uid"], r["length"]) for r in rows) == list(enumerate(size))
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for x in bins.values():
+            x.sort()
+            assert [a for a, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 4096
+        return len(bins)
+
+    plain = len(packing.best_fit(sorted(size, reverse=True), 4096))
+    bred = sequences(islands=3, epochs=3, children=60)
+    assert 120 <= bred < plain
+    assert bred == sequences(islands=3, epochs=3, children=60)  # a rerun gives the same
+    assert sequences(islands=1, epochs=1, children=5) >= bred
+    assert sequences(shard=60) <= plain + 3
 
 
 def test_words_are_the_tokenizer(monkeypatch):
