@@ -42,7 +42,7 @@ WINDOW = 13
 #: Prefix lengths before the whole window.
 PREFIXES = (1, 2, 4, 8)
 #: Fingerprints of a group, suffixes of a tree's group, words of a task's buffer and of a piece of a document.
-PRINTS, GROUP, BUFFER, PIECE = 1_000_000, 150_000, 500_000, 1 << 20
+PRINTS, GROUP, BUFFER, PIECE = 1_000_000, 500_000, 500_000, 1 << 20
 #: Bits of the cells of a prefix length's counts: some four cells for each group, between these bounds.
 CELL_BITS = (14, 22)
 #: The most bytes of candidates or removed spans that are broadcast; more are joined by a shuffle.
@@ -227,7 +227,7 @@ def _company(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _marked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """From a buffer's head and replies: ids, texts, bases, windows of its pieces, and whether each window is marked."""
+    """From a buffer's head and replies: ids, texts, bases, windows of its pieces, and whether each window is marked, by itself or by others."""
     head, places = None, []
     for r in table.to_pylist():
         if r["kind"]:
@@ -263,27 +263,22 @@ def _index() -> defaultdict:
     return defaultdict(itertools.count().__next__)
 
 
-def _written(suffixes: np.ndarray, words: list[bytes]) -> bytes:
-    """Rows of numbered words as the words that they use and numbers of these, low bytes and high bytes apart."""
-    used, number = np.unique(suffixes, return_inverse=True)
-    text = b" ".join(words[i] for i in used.tolist())
-    kind = np.dtype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-    planes = np.ascontiguousarray(number.reshape(suffixes.shape).T.astype(kind).reshape(-1, 1).view(np.uint8).T)
-    sizes = np.array([kind.itemsize, len(text), planes.size], "<i8").tobytes()
-    return sizes + pa.compress(text + planes.tobytes(), codec="zstd", asbytes=True)
+def _written(suffixes: list[list[bytes]]) -> bytes:
+    text = b" ".join(map(b" ".join, suffixes))
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
 
 
 def _read(data: bytes, index: defaultdict, window: int) -> np.ndarray:
-    """Such rows again, with the words' numbers in index."""
-    item, n, size = np.frombuffer(data, "<i8", 3).tolist()
-    raw = pa.decompress(data[24:], n + size, codec="zstd", asbytes=True)
-    number = np.frombuffer(raw, np.uint8, offset=n).reshape(item, -1).T.copy().view(f"<u{item}").reshape(window, -1).T
-    return _numbers(raw[:n].split(), index)[number]
+    """Such suffixes as rows of their words' numbers in index."""
+    text = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return _numbers(text.split(), index).reshape(-1, window)
 
 
 def nodes(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of numbered words in lexical order, and the longest common prefix of each with the one before (-1 for the first)."""
-    order = np.lexsort(suffixes.T[::-1])
+    n = suffixes.shape[1]
+    two = [(suffixes[:, i].astype(np.int64) << 32) | (suffixes[:, i + 1] if i + 1 < n else 0) for i in range(0, n, 2)]  # a key for two words
+    order = np.lexsort(two[::-1])
     s = suffixes[order]
     differ = s[1:] != s[:-1]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), s.shape[1])
@@ -303,10 +298,9 @@ def _suffixes(window: int, most: int, piece: int, few: list[np.ndarray], bits: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in _filled(pieces(batches), window, most):
-            index = _index()
-            ids = np.concatenate([_numbers(x[3], index) for x in buffer.pieces])
-            distinct = list(index)
-            hashes = word_hashes(distinct)[ids]
+            index, words = _index(), list(itertools.chain.from_iterable(x[3] for x in buffer.pieces))
+            ids = _numbers(words, index)
+            hashes = word_hashes(list(index))[ids]
             places = np.concatenate([x[4] + s for x, s in zip(buffer.pieces, buffer.window_start, strict=True)])
             of, at = buffer.word_of(places)
             hashed = sequence_hashes(hashes, (*_levels(window), window))
@@ -345,7 +339,7 @@ def _suffixes(window: int, most: int, piece: int, few: list[np.ndarray], bits: i
             for a, b, c, d in zip(edges[:-1], edges[1:], extra_starts, extra_ends, strict=True):
                 x = by[a:b]
                 docs = _packed(_rising(smallest[x].view(np.uint64) + np.uint64(1 << 63)))
-                out.append((int(group[x[0]]), 0, buffer.name, _written(ids[start[x][:, None] + np.arange(window)], distinct), docs, _packed(_rising(first[x])), extra[c:d].tobytes()))
+                out.append((int(group[x[0]]), 0, buffer.name, _written([words[i : i + window] for i in start[x].tolist()]), docs, _packed(_rising(first[x])), extra[c:d].tobytes()))
             yield from _sent([*out, buffer.head(groups, marked)])
 
     return run
