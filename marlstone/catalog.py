@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from marlstone.storage import Store
-from marlstone.types import as_declared, spark_type
+from marlstone.types import as_declared, pad_vector, spark_type
 
 # Other names of index methods.
 METHODS = {
@@ -45,7 +45,8 @@ class Manifest:
     fields: list[Field]
     key: str
     organisation: str = "heap"
-    indexes: dict[str, dict] = field(default_factory=dict)  # column: method, name, and for content indexes path and version
+    #: column: method and name; for content indexes path and version; parts: what an index has for each segment
+    indexes: dict[str, dict] = field(default_factory=dict)
     segments: list[str] = field(default_factory=list)
     data_version: int = 0
 
@@ -64,6 +65,7 @@ class Manifest:
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.store = spark, root.rstrip("/"), Store(spark)
+        self.opened: dict[str, object] = {}  # readers of stored indexes by their paths, which never change
 
     def _home(self, table: str) -> str:
         return f"{self.root}/{table.lower()}"
@@ -113,6 +115,9 @@ class Catalog:
         """rows as declared, as a new segment; sequential, isam and bplus tables keep segments in key order, so scans prune."""
         path = self.new_folder(m.table, "data")
         rows = as_declared(rows, m.schema)
+        for f in m.fields:
+            if f.length and isinstance(spark_type(f.type), T.ArrayType):
+                rows = rows.withColumn(f.name, pad_vector(rows[f"`{f.name}`"], f.length))
         if m.organisation != "heap":
             rows = rows.repartitionByRange(m.key).sortWithinPartitions(m.key)
         rows.write.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict
 from time import perf_counter
 from typing import Any
@@ -75,10 +76,14 @@ def _select_action(where: Any) -> str:
 
 
 class Engine:
-    """Runs scripts against a catalog. `frame` gives a SELECT as a lazy DataFrame, `run` gives envelopes."""
+    """Runs scripts against a catalog. `frame` gives a SELECT as a lazy DataFrame, `run` gives envelopes.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.catalog = spark, Catalog(spark, root)
+    An envelope holds at most `most` rows of a SELECT. A longer result is written as Parquet to a folder that meta names
+    as `path`; data then has its first rows.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, most: int = 100_000):
+        self.spark, self.catalog, self.most = spark, Catalog(spark, root), most
 
     def table(self, name: str) -> Table:
         return Table(self.catalog, name)
@@ -162,14 +167,14 @@ class Engine:
         m.indexes = {m.column(c): {"method": x, "name": f"{m.table}_{c}_{x}"} for c, x in indexes.items() if c.lower() != key.lower()}
         self.catalog.create(m)
 
-    def _create_from_file(self, p: dict[str, Any]) -> int:
+    def _create_from_file(self, p: dict[str, Any], t: Table) -> int:
         if not self.catalog.exists(p["table"]):
             columns = inferred_columns(self.spark, p["path"])
             key = next((c for c, _ in columns if p["column"] and c.lower() == p["column"].lower()), columns[0][0])
             method = method_name(p["method"], "heap")
             primary = method if method in ("heap", "sequential", "isam", "bplus") else "heap"
             self.catalog.create(Manifest(p["table"], [Field(c, t) for c, t in columns], key, primary))
-        n = self.table(p["table"]).import_csv(p["path"])
+        n = t.import_csv(p["path"])
         if p["method"] and method_name(p["method"], "heap") not in ("heap", "sequential", "isam", "bplus"):
             self.table(p["table"]).create_index(p["column"], p["method"])
         return n
@@ -190,8 +195,8 @@ class Engine:
                 self._create(p)
                 return _ok(p, message=f"Table {p['table']} is there.")
             case "create_table_from_file":
-                n = self._create_from_file(p)
-                return _ok(p, meta={"affected": n}, message=f"{n} rows read.")
+                n = self._create_from_file(p, t)
+                return _ok(p, meta={"affected": n, "rejected": t.rejected, "io": {"read": 0, "write": t.written}}, message=f"{n} rows read.")
             case "create_index":
                 t.create_index(p["column"], p["method"], p["name"])
                 return _ok(p, message="Index is there.")
@@ -203,13 +208,19 @@ class Engine:
                 return _ok(p, message="Index is gone.")
             case "remove":
                 n = t.remove(p["field"], p["op"], p["value"])
-                return _ok(p, meta={"affected": n, "index_usage": t.usage}, message=f"{n} rows deleted.")
+                return _ok(p, meta={"affected": n, "index_usage": t.usage, "io": {"read": 0, "write": t.written}}, message=f"{n} rows deleted.")
             case "insert":
                 n = t.import_csv(p["from_file"])
-                return _ok(p, meta={"affected": n}, message=f"{n} rows read.")
+                return _ok(p, meta={"affected": n, "rejected": t.rejected, "io": {"read": 0, "write": t.written}}, message=f"{n} rows read, {t.rejected} cells of another type set to null.")
         df = self._select(p, t)
-        data = [_plain(r.asDict(recursive=True)) for r in df.collect()]
-        return _ok(p, data=data, meta={"index_usage": t.usage}, message=f"{len(data)} rows found.")
+        first = df.limit(self.most + 1)
+        data = [_plain(r.asDict(recursive=True)) for r in first.collect()]  # bounded by `most`
+        meta = {"index_usage": t.usage, "io": {"read": files_read(first), "write": 0}}
+        if len(data) <= self.most:
+            return _ok(p, data=data, meta=meta, message=f"{len(data)} rows found.")
+        path = f"{self.catalog.root}/_results/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return _ok(p, data=data[: self.most], meta=meta | {"path": path}, message=f"More than {self.most} rows found, all of them at {path}.")
 
     def _insert_rows(self, plans: list[dict[str, Any]]) -> list[dict[str, Any]]:
         """A run of single-row inserts into one table as one job, each with its own result."""
@@ -231,7 +242,7 @@ class Engine:
                     done[i] = t.insert([records[i]])[0]
                 except (ValueError, TypeError, KeyError) as e:
                     bad[i] = str(e)
-        key = t.manifest.key
+        key, written = t.manifest.key, t.written
         out = []
         for i, p in enumerate(plans):
             if i in bad:
@@ -240,7 +251,8 @@ class Engine:
                 value = next((v for c, v in records[i].items() if c.lower() == key.lower()), None)
                 out.append(_failed(p, "DUPLICATE_KEY" if value is not None else "EXEC_ERROR", f"{key} = {value} is there already" if value is not None else f"{key} is missing"))
             else:
-                out.append(_ok(p, meta={"affected": 1}, message="1 row inserted."))
+                out.append(_ok(p, meta={"affected": 1, "io": {"read": 0, "write": written}}, message="1 row inserted."))
+                written = 0  # the rows of a run are written together; the first that went in counts the files
         return out
 
     def run(self, sql: str) -> dict[str, Any]:
@@ -285,6 +297,25 @@ class Engine:
         return self.frame(sql)._jdf.queryExecution().toString()
 
 
+def files_read(df: DataFrame) -> int:
+    """Files that the scans of a frame's plan have read, once it has run; from Spark's own metrics."""
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if node.metrics().contains("numFiles"):
+            n += node.metrics().apply("numFiles").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return n
+
+
 def _plain(v: Any) -> Any:
     if isinstance(v, dict):
         return {k: _plain(x) for k, x in v.items()}

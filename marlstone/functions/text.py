@@ -19,6 +19,17 @@ def query_tokens(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
 
+def term_counts(c: Column) -> Column:
+    """Structs (term, tf) of a text's distinct tokens, counted within the row by runs of the sorted tokens."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == n) | (F.get(s, i) != F.get(s, i - 1))))
+        return F.transform(F.array(ends), lambda e: F.transform(e, lambda at, k: F.struct(F.get(s, at - 1).alias("term"), (at - F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(0))).cast("long").alias("tf"))))[0]
+
+    return F.transform(F.array(F.array_sort(tokens(c))), runs)[0]
+
+
 def has_text(c: Column) -> Column:
     return F.length(F.btrim(c)) > 0
 

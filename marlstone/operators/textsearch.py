@@ -3,23 +3,27 @@
 A posting holds a document's weight for a term already divided by the document's norm, so a query reads the rows of
 its own terms, sums per document and takes the top k. Postings are written sorted by term: the parquet footers
 then prune all row groups but those of the query's terms.
+
+A stored index is made in two steps. Term frequencies are counted within each row, without a shuffle, and written once;
+document frequencies, norms and postings come from these. When a table changes, only the rows of new segments are
+tokenised, and the second step runs over the frequencies of all segments.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import has_text, query_tokens, text_idf, tokens
+from marlstone.functions.text import has_text, query_tokens, term_counts, text_idf
 
 
 def term_frequencies(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """Rows doc, term, tf."""
-    rows = docs.where(has_text(docs[column])).select(docs[key].alias("doc"), F.explode(tokens(docs[column])).alias("term"))
-    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    """Rows doc, term, tf; a row for each term of each row of docs, whose keys should be unique."""
+    rows = docs.where(has_text(docs[column])).select(docs[key].alias("doc"), F.explode(term_counts(docs[column])).alias("x"))
+    return rows.select("doc", "x.term", "x.tf")
 
 
 def corpus_size(docs: DataFrame, column: str) -> DataFrame:
@@ -41,6 +45,15 @@ def norms(tf: DataFrame, idf: DataFrame) -> DataFrame:
     return tf.join(idf, "term").groupBy("doc").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
 
+def weighted(tf: DataFrame, idf: DataFrame, length: DataFrame) -> DataFrame:
+    """Postings term, doc, tf, weight from term frequencies, idfs and norms."""
+    return tf.join(idf.select("term", "idf"), "term").join(length, "doc").select("term", "doc", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
+
+
+#: Terms whose idf a reader of a stored index keeps; it starts anew beyond.
+KNOWN = 100_000
+
+
 @dataclass
 class TextIndex:
     """idf: term, df, idf. postings: term, doc, tf, weight (tf * idf / norm of the document)."""
@@ -48,18 +61,34 @@ class TextIndex:
     idf: DataFrame
     postings: DataFrame
     stored: bool = False  # whether reading a few rows of idf is cheap
+    source: tuple[DataFrame, DataFrame] | None = None  # term frequencies and corpus size that it is made from
+    known: dict[str, float] = field(default_factory=dict)  # idfs of terms asked for before, 0 for those that have none
+
+    @staticmethod
+    def of(tf: DataFrame, n: DataFrame) -> TextIndex:
+        idf = idfs(document_frequencies(tf), n)
+        return TextIndex(idf, weighted(tf, idf, norms(tf, idf)), source=(tf, n))
 
     @staticmethod
     def build(docs: DataFrame, key: str, column: str) -> TextIndex:
-        tf = term_frequencies(docs, key, column)
-        idf = idfs(document_frequencies(tf), corpus_size(docs, column))
-        weighted = tf.join(idf.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-        length = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return TextIndex(idf, weighted.join(length, "doc").select("term", "doc", "tf", (F.col("w") / F.col("norm")).alias("weight")))
+        return TextIndex.of(term_frequencies(docs, key, column), corpus_size(docs, column))
 
     def write(self, path: str) -> None:
-        self.idf.sort("term").write.parquet(f"{path}/idf")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
+        """Write the index, step by step, so that texts are tokenised once."""
+        tf, n = self.source
+        spark = tf.sparkSession
+        tf.write.parquet(f"{path}/tf")
+        TextIndex.finish(spark.read.parquet(f"{path}/tf"), n, path)
+
+    @staticmethod
+    def finish(tf: DataFrame, n: DataFrame, path: str) -> None:
+        """The second step, from stored term frequencies."""
+        spark = tf.sparkSession
+        idfs(document_frequencies(tf), n).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/idf")
+        idf = spark.read.parquet(f"{path}/idf")
+        norms(tf, idf).write.parquet(f"{path}/norms")
+        postings = weighted(tf, idf, spark.read.parquet(f"{path}/norms"))
+        postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
 
     @staticmethod
     def read(spark, path: str) -> TextIndex:
@@ -68,6 +97,16 @@ class TextIndex:
     def cached(self) -> TextIndex:
         return TextIndex(self.idf.cache(), self.postings.cache(), True)
 
+    def _idfs(self, terms: list[str]) -> dict[str, float]:
+        """The idfs of the terms that have one, by one small job for those not asked for before."""
+        if new := [t for t in terms if t not in self.known]:
+            if len(self.known) + len(new) > KNOWN:
+                self.known.clear()
+                new = terms
+            found = {r["term"]: r["idf"] for r in self.idf.where(F.col("term").isin(new)).select("term", "idf").collect()}
+            self.known.update({t: found.get(t, 0.0) for t in new})
+        return {t: self.known[t] for t in terms if self.known[t]}
+
     def scores(self, query: str) -> DataFrame:
         """Rows doc, similarity of all documents that share a weighted term with the query."""
         counts = Counter(query_tokens(query))
@@ -75,7 +114,7 @@ class TextIndex:
             return self.postings.where("false").select("doc", F.lit(0.0).alias("similarity"))
         terms = sorted(counts)
         if self.stored:  # the weights of the query's terms, at most one row each, come to the driver: one small job instead of two broadcasts
-            weight = {r["term"]: counts[r["term"]] * r["idf"] for r in self.idf.where(F.col("term").isin(terms)).select("term", "idf").collect()}
+            weight = {t: counts[t] * x for t, x in self._idfs(terms).items()}
             size = sum(x * x for x in weight.values()) ** 0.5
             if not weight:
                 return self.postings.where("false").select("doc", F.lit(0.0).alias("similarity"))

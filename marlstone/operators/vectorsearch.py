@@ -26,8 +26,29 @@ def candidates(lists: DataFrame, query: list[float]) -> DataFrame:
     return lists.where(F.col("word").isin(words)).select("doc").distinct()
 
 
-def nearest_by_index(df: DataFrame, lists: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
-    """Cosine over candidates only; ties by key, largest first."""
+#: The share of vectors in one of the query's lists from which on a scan is cheaper than the lists.
+DENSE = 0.1
+
+
+def list_sizes(lists: DataFrame, total: int) -> dict[int, float]:
+    """The share of the vectors that each list holds: a number for each dimension."""
+    return {r["word"]: r["n"] / max(total, 1) for r in lists.groupBy("word").agg(F.count("*").alias("n")).collect()}
+
+
+def is_candidate(vector: Column, query: list[float], threshold: float = 0.0) -> Column:
+    """The same as `candidates` decides, on the vector itself."""
+    return F.exists(F.zip_with(vector, F.array(*(F.lit(x > 0) for x in query)), lambda x, asked: asked & (x > threshold)), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def nearest_by_index(df: DataFrame, lists: DataFrame, key: str, vector: str, query: list[float], k: int, shares: dict[int, float] | None = None) -> DataFrame:
+    """Cosine over candidates only; ties by key, largest first.
+
+    Lists prune where they are short. Where one of the query's lists holds a good part of all vectors (by `shares`, which an
+    index knows), reading it and joining costs more than a look at each vector, so candidates are then found in the scan.
+    """
+    words = [i for i, x in enumerate(query) if x > 0]
+    if shares is not None and max((shares.get(w, 0.0) for w in words), default=0.0) > DENSE:
+        return nearest_by_cosine(df.where(is_candidate(df[vector], query)), key, vector, query, k, newest_first=True)
     found = candidates(lists, query).withColumnRenamed("doc", "_candidate")
     near = df.join(found, df[key] == found["_candidate"], "left_semi")
     return nearest_by_cosine(near, key, vector, query, k, newest_first=True)
@@ -81,13 +102,22 @@ def smooth_tfidf(histograms: DataFrame, key: str, word: str, share: str, documen
     return w.select(key, word, (F.col("w") / size).alias("weight"))
 
 
-def train_codebook(frames: DataFrame, vector: str, k: int, max_iterations: int = 150, tolerance: float = 1e-4, seed: int = 42):
-    """A KMeansModel; its summary has the inertia (trainingCost)."""
+# Named settings of codebooks.
+CODEBOOKS = {"demo": {"k": 400, "sample": 100_000, "max_iterations": 150}, "production": {"k": 500, "sample": None, "max_iterations": 300}}
+
+
+def train_codebook(frames: DataFrame, vector: str, k: int, max_iterations: int = 150, tolerance: float = 1e-4, seed: int = 42, sample: int | None = None):
+    """A KMeansModel; its summary has the inertia (trainingCost). sample: about how many frames to train on, drawn by hash; None for all.
+
+    train_codebook(frames, "v", **CODEBOOKS["demo"]) for a named setting.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = frames.select("*", array_to_vector(frames[vector].cast("array<double>")).alias("_features"))
-    return KMeans(k=k, seed=seed, maxIter=max_iterations, tol=tolerance, featuresCol="_features", predictionCol="codeword").fit(rows)
+    rows = frames.select(array_to_vector(frames[vector].cast("array<double>")).alias("_features"), frames[vector].alias("_raw"))
+    if sample is not None and (n := rows.count()) > sample:
+        rows = rows.where(F.pmod(F.xxhash64("_raw", F.lit(seed)), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    return KMeans(k=k, seed=seed, maxIter=max_iterations, tol=tolerance, featuresCol="_features", predictionCol="codeword").fit(rows.select("_features"))
 
 
 def quantise(frames: DataFrame, vector: str, model) -> DataFrame:

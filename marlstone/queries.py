@@ -423,5 +423,5 @@ def path_vector_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("kmeans_inertia")
 def kmeans_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    model = vectorsearch.train_codebook(v, "v", k=10, max_iterations=20)
+    model = vectorsearch.train_codebook(v, "v", k=10)
     return vectorsearch.quantise(v, "v", model).groupBy("codeword").agg(F.count("*").alias("n")).withColumn("inertia", F.lit(model.summary.trainingCost))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -34,13 +37,33 @@ class Store:
         finally:
             stream.close()
 
+    def size(self, path: str) -> int:
+        """Bytes of a file or of all files in a folder."""
+        fs, p = self._at(path)
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
     def write_new(self, path: str, text: str) -> None:
-        """Create path with text, whole or not at all; FileExistsError if it is there."""
+        """Create path with text, whole or not at all; FileExistsError if it is there, also if another writer was first.
+
+        A part file of its own name is written first. It takes its place by a link on local disks, where renaming would
+        replace what is there, and elsewhere by renaming, which a store like HDFS refuses where the name is taken.
+        """
         fs, p = self._at(path)
-        part = self._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-        stream = fs.create(part, True)
+        part = self._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+        stream = fs.create(part, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(p) or not fs.rename(part, p):
+        try:
+            if fs.getScheme() == "file":
+                self._jvm.java.nio.file.Files.createLink(self._local(p), self._local(part))
+            elif fs.exists(p) or not fs.rename(part, p):
+                raise FileExistsError(path)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise FileExistsError(path) from None
+            raise
+        finally:
             fs.delete(part, False)
-            raise FileExistsError(path)
+
+    def _local(self, path):
+        return self._jvm.java.io.File(path.toUri().getPath()).toPath()

@@ -15,14 +15,22 @@ from marlstone.functions.media import path_vector, path_vectors
 from marlstone.functions.text import has_text
 from marlstone.functions.vectors import parse_vector
 from marlstone.operators import relational, spatial, vectorsearch
-from marlstone.operators.textsearch import TextIndex, index_statistics, knn_text
-from marlstone.sources.csv import read_csv
+from marlstone.operators.textsearch import TextIndex, corpus_size, index_statistics, knn_text, term_frequencies
+from marlstone.sources.csv import count_rejected, read_csv
+
+
+#: Segments below SMALL bytes, of which MERGED become one; most bytes of a row group of a secondary index.
+SMALL, MERGED, GROUP = 64 << 20, 16, 4 << 20
+#: Readers of stored indexes that are kept open.
+OPENED = 32
 
 
 class Table:
     def __init__(self, catalog: Catalog, name: str):
         self.catalog, self.name, self.spark = catalog, name, catalog.spark
         self.usage: list[dict] = []  # which index a query used, for the envelope
+        self.written = 0  # files written, for the envelope
+        self.rejected = 0  # cells of the last import that can't be read as their column's type
 
     @property
     def manifest(self) -> Manifest:
@@ -33,11 +41,26 @@ class Table:
 
     # ---- writing ----
 
+    def _segment(self, m: Manifest, rows: DataFrame) -> str:
+        path = self.catalog.write_segment(m, rows)
+        self.written += sum(n.endswith(".parquet") for n in self.catalog.store.names(path))
+        return path
+
     def _append(self, m: Manifest, number: int, rows: DataFrame) -> None:
-        m.segments.append(self.catalog.write_segment(m, rows))
+        m.segments.append(self._segment(m, rows))
         m.data_version += 1
+        self._merge_small(m)
         self.catalog.save(m, number)
 
+    def _merge_small(self, m: Manifest) -> None:
+        """Make one segment of the small ones when there are MERGED of them, as single inserts leave one each."""
+        if len(m.segments) < MERGED:
+            return
+        small = [s for s in m.segments if self.catalog.store.size(s) < SMALL]
+        if len(small) >= MERGED:
+            rows = self.spark.read.schema(m.schema).parquet(*small)
+            m.segments = [s for s in m.segments if s not in small] + [self._segment(m, rows)]
+
     def insert(self, records: list[dict[str, Any]]) -> list[bool]:
         """Insert rows, the first of each new key; for each record whether it went in. One look-up and one write for all."""
         m, number = self.catalog.change(self.name)
@@ -58,15 +81,23 @@ class Table:
 
     def build(self, rows: DataFrame) -> int:
         """Append rows of a frame whose keys are new, the first of each key in the frame's order; returns the rows given."""
+        from pyspark.sql import Observation
+
         m, number = self.catalog.change(self.name)
-        numbered = rows.withColumn("_at", F.monotonically_increasing_id()).where(F.col(m.key).isNotNull())
+        seen = Observation()
+        numbered = rows.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_at", F.monotonically_increasing_id()).where(F.col(m.key).isNotNull())
         fresh = relational.first_per_key(numbered, m.key, F.col("_at")).drop("_at")
         self._append(m, number, relational.new_keys(fresh, self.catalog.read(m), m.key) if m.segments else fresh)
-        return rows.count()
+        return seen.get["n"]
 
     def import_csv(self, path: str) -> int:
-        """Append a CSV file; returns the rows read. Rows whose key is null or there already are left out."""
-        return self.build(read_csv(self.spark, path, self.manifest.schema))
+        """Append a CSV file; returns the rows read. Rows whose key is null or there already are left out.
+
+        Cells that can't be read as their column's type are null; `rejected` then says how many.
+        """
+        schema = self.manifest.schema
+        self.rejected = count_rejected(self.spark, path, schema)
+        return self.build(read_csv(self.spark, path, schema))
 
     def remove(self, column: str, op: str, value: Any) -> int:
         """Delete matching rows; only segments with any are rewritten."""
@@ -84,7 +115,7 @@ class Table:
                 continue
             part = self.spark.read.schema(m.schema).parquet(s)
             rest = part.where(~F.coalesce(relational.compare(part, column, op, value), F.lit(False)))
-            kept.append(self.catalog.write_segment(m, rest))
+            kept.append(self._segment(m, rest))
         m.segments = kept
         m.data_version += 1
         self.catalog.save(m, number)
@@ -96,7 +127,7 @@ class Table:
         rows = self.catalog.read(m)
         m.organisation = organisation
         if m.segments:
-            m.segments = [self.catalog.write_segment(m, rows)]
+            m.segments = [self._segment(m, rows)]
             m.data_version += 1
         self.catalog.save(m, number)
 
@@ -114,6 +145,8 @@ class Table:
         m.indexes[column] = {"method": method, "name": name or f"{m.table}_{column}_{method}"}
         if method in CONTENT:
             self._refresh(m, column)
+        else:
+            self._cover(m, column)
         self.catalog.save(m, number)
 
     def drop_index(self, column: str | None = None, name: str | None = None) -> None:
@@ -130,8 +163,60 @@ class Table:
             raise KeyError(f"{m.table} has no index on {column}")
         gone = m.indexes.pop(column)
         self.catalog.save(m, number)
-        if gone.get("path"):
-            self.catalog.store.delete(gone["path"])
+        for path in [gone.get("path"), *(p if isinstance(p, str) else p["tf"] for p in gone.get("parts", {}).values())]:
+            if path:
+                self.catalog.store.delete(path)
+
+    def _parts(self, m: Manifest, column: str, make) -> bool:
+        """Bring an index's parts, one for each segment, in line with the table's segments; whether anything changed."""
+        parts = m.indexes[column].setdefault("parts", {})
+        gone, new = [s for s in parts if s not in m.segments], [s for s in m.segments if s not in parts]
+        for s in gone:
+            del parts[s]  # the files stay for readers of older manifests, as those of segments do
+        for s in new:
+            parts[s] = make(self.spark.read.schema(m.schema).parquet(s))
+        return bool(gone or new)
+
+    def _cover(self, m: Manifest, column: str) -> bool:
+        """A secondary index: of each segment a copy in the order of the column, whose footers then prune what is asked for.
+
+        bplus sorts by the value. hash spreads rows by it and adds Bloom filters, for equality. rtree sorts points along a
+        Z-order curve and keeps both coordinates as columns, so windows prune.
+        """
+        method = m.indexes[column]["method"]
+
+        def make(rows: DataFrame) -> str:
+            path = self.catalog.new_folder(m.table, "indexes")
+            if method == "rtree":
+                rows = spatial.in_z_order(rows, column)
+            elif method == "hash":
+                rows = rows.repartition(F.col(f"`{column}`")).sortWithinPartitions(f"`{column}`")
+            else:
+                rows = rows.repartitionByRange(F.col(f"`{column}`")).sortWithinPartitions(f"`{column}`")
+            out = rows.write.option("parquet.block.size", GROUP)
+            if method == "hash":
+                out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            out.parquet(path)
+            return path
+
+        return self._parts(m, column, make)
+
+    def _through(self, column: str, op: str, methods: tuple[str, ...]) -> DataFrame:
+        """The table's rows, read through a secondary index on the column if there is one of such a method; noted in `usage`."""
+        m, number = self.catalog.change(self.name)
+        method = m.indexes.get(column, {}).get("method")
+        if column == m.key:
+            self.usage.append({"where": "primary", "index": m.organisation, "field": column, "op": op})
+        if method not in methods:
+            return self.catalog.read(m)
+        if self._cover(m, column):
+            self.catalog.save(m, number)
+        self.usage.append({"where": "secondary", "index": method, "field": column, "op": op})
+        parts = list(m.indexes[column]["parts"].values())
+        if not parts:
+            return self.catalog.read(m)
+        schema = spatial.with_place(m.schema) if method == "rtree" else m.schema
+        return self.spark.read.schema(schema).parquet(*parts)
 
     def _refresh(self, m: Manifest, column: str) -> None:
         """Write a content index for the table's present rows and note for which state of the data it is."""
@@ -141,7 +226,16 @@ class Table:
         if index["method"] == "invtext":
             if base.where(has_text(F.col(column))).isEmpty():
                 raise ValueError(f"{m.table}.{column} has no text to index")
-            TextIndex.build(base, m.key, column).write(path)
+
+            def make(rows: DataFrame) -> dict:
+                part = self.catalog.new_folder(m.table, "indexes")
+                term_frequencies(rows, m.key, column).write.parquet(part)
+                return {"tf": part, "n": corpus_size(rows, column).first()["n"]}
+
+            self._parts(m, column, make)  # only new segments are tokenised
+            parts = index["parts"].values()
+            n = self.spark.range(1).select(F.lit(sum(p["n"] for p in parts)).cast("long").alias("n"))
+            TextIndex.finish(self.spark.read.parquet(*(p["tf"] for p in parts)), n, path)
         else:
             vectors = self._image_histograms(base, m.key, column) if index["method"] == "bovw" else self._audio_vectors(base, m.key, column)
             vectors.write.parquet(f"{path}/vectors")
@@ -174,23 +268,43 @@ class Table:
         by = "term" if index["method"] == "invtext" else "word"
         return index_statistics(self.spark.read.parquet(f"{self._fresh(column, index['method'])}/postings"), by)
 
+    def check_index(self, column: str) -> list[str]:
+        """What is missing or doesn't add up in an index's files; nothing if it is whole."""
+        m = self.manifest
+        index, store = m.indexes[m.column(column)], self.catalog.store
+        parts = {s: p if isinstance(p, str) else p["tf"] for s, p in index.get("parts", {}).items()}
+        wrong = [f"{p} is missing" for p in parts.values() if not store.exists(f"{p}/_SUCCESS")]
+        if index["method"] not in CONTENT:
+            return wrong + [f"{s} isn't covered" for s in m.segments if s not in parts]
+        needed = {"invtext": ("idf", "norms", "postings"), "bovw": ("vectors", "idf", "norms", "postings"), "audio": ("vectors", "postings")}[index["method"]]
+        wrong += [f"{index['path']}/{n} is missing" for n in needed if not store.exists(f"{index['path']}/{n}/_SUCCESS")]
+        if not wrong and index["method"] == "invtext":
+            read = lambda n: self.spark.read.parquet(f"{index['path']}/{n}")
+            lists = read("idf").agg(F.count("*").alias("lists"), F.sum("df").alias("postings")).first()
+            stored = read("postings").agg(F.count_distinct("term").alias("lists"), F.count("*").alias("postings")).first()
+            if (lists["lists"], lists["postings"] or 0) != (stored["lists"], stored["postings"]):
+                wrong.append(f"{stored['lists']} lists of {stored['postings']} postings, {lists['lists']} of {lists['postings']} expected")
+        return wrong
+
     # ---- pictures and sounds ----
 
     def _image_histograms(self, base: DataFrame, key: str, column: str) -> DataFrame:
-        """Rows doc, vector of the pictures that can be read. Folders are few, so their names come to the driver; files don't."""
+        """Rows doc, vector of the pictures that can be read.
+
+        Folders are few, so their names come to the driver; files don't. One scan lists the folders' files, and only those that
+        the table names are decoded.
+        """
+        from marlstone.functions.media import image_histogram
+
         path = F.regexp_replace(F.btrim(F.col(column)), "^file:/*", "/")
         named = base.where(F.length(F.btrim(F.col(column))) > 0).select(F.col(key).alias("doc"), path.alias("at"))
         folders = [r[0] for r in named.select(F.regexp_replace("at", "/[^/]*$", "")).distinct().collect()]
         folders = [f for f in folders if self.catalog.store.exists(f or "/")]
         if not folders:
             return self.spark.createDataFrame([], "doc string, vector array<double>")
-        pictures = None
-        for f in folders:
-            one = self.spark.read.format("image").option("dropInvalid", "true").load(f)
-            pictures = one if pictures is None else pictures.unionAll(one)
-        from marlstone.functions.media import image_histogram
-
-        found = pictures.select(F.regexp_replace("image.origin", "^file:/*", "/").alias("origin"), image_histogram(F.col("image")).alias("vector"))
+        pictures = self.spark.read.format("image").option("dropInvalid", "true").load(folders)
+        found = pictures.select(F.regexp_replace("image.origin", "^file:/*", "/").alias("origin"), "image")
+        found = found.join(named.select("at").distinct(), F.col("origin") == F.col("at"), "left_semi").select("origin", image_histogram(F.col("image")).alias("vector"))
         return named.join(found, named["at"] == found["origin"]).where(F.col("vector").isNotNull()).select("doc", "vector")
 
     def _bovw(self, stored: DataFrame, path: str) -> None:
@@ -237,9 +351,18 @@ class Table:
 
     def _knn_text(self, column: str, query: str, k: int, indexed: bool) -> DataFrame:
         m = self.manifest
-        index = TextIndex.read(self.spark, self._fresh(column, "invtext")) if indexed else TextIndex.build(self.rows(), m.key, column)
+        index = self._opened(self._fresh(column, "invtext"), lambda path: TextIndex.read(self.spark, path)) if indexed else TextIndex.build(self.rows(), m.key, column)
         return knn_text(self.rows(), index, query, k, m.key)
 
+    def _opened(self, path: str, read):
+        """What `read` makes of a stored index, kept for the next query; the oldest go beyond OPENED."""
+        opened = self.catalog.opened
+        if path not in opened:
+            while len(opened) >= OPENED:
+                opened.pop(next(iter(opened)))
+            opened[path] = read(path)
+        return opened[path]
+
     def _knn_audio(self, column: str, query: list[float], k: int, indexed: bool) -> DataFrame:
         m = self.manifest
         if not indexed:
@@ -248,7 +371,8 @@ class Table:
         else:
             path = self._fresh(column, "audio")
             stored, lists = self.spark.read.parquet(f"{path}/vectors"), self.spark.read.parquet(f"{path}/postings")
-            hits = vectorsearch.nearest_by_index(stored, lists, "doc", "vector", query, k)
+            shares = self._opened(f"{path}/shares", lambda _: vectorsearch.list_sizes(lists, stored.count()))
+            hits = vectorsearch.nearest_by_index(stored, lists, "doc", "vector", query, k, shares)
         return self._with_rows(hits.select("doc", "similarity"), k, newest_first=True)
 
     def _knn_image(self, column: str, path: str, k: int, indexed: bool) -> DataFrame:
@@ -269,26 +393,30 @@ class Table:
     # ---- one method per storage operation ----
 
     def search(self, column: str, value: Any) -> DataFrame:
-        rows, column = self.rows(), self.manifest.column(column)
-        method = self.manifest.indexes.get(column, {}).get("method")
-        if method == "rtree" and (p := _point(value)):
-            self.usage.append({"where": "secondary", "index": "rtree", "field": column, "op": "search"})
-            return spatial.at_point(rows, column, *p)
+        column = self.manifest.column(column)
+        if self.manifest.indexes.get(column, {}).get("method") == "rtree" and (p := _point(value)):
+            return self._place(spatial.at_point, column, "search", *p)
+        rows = self._through(column, "search", ("bplus", "hash"))
         out = rows.where(relational.compare(rows, column, "=", value))
         return out.limit(1) if column == self.manifest.key else out
 
     def range_search(self, column: str, low: Any, high: Any) -> DataFrame:
-        rows, column = self.rows(), self.manifest.column(column)
+        column = self.manifest.column(column)
         p, q = _point(low), _point(high)
         if self.manifest.indexes.get(column, {}).get("method") == "rtree" and p and q:
-            return spatial.within_window(rows, column, *p, *q)
+            return self._place(spatial.within_window, column, "range_search", *p, *q)
+        rows = self._through(column, "range_search", ("bplus",))
         return rows.where(relational.between(rows, column, low, high))
 
+    def _place(self, find, column: str, op: str, *args: float) -> DataFrame:
+        rows = self._through(column, op, ("rtree",))
+        return find(rows, column, *args).select(*self.manifest.schema.names)
+
     def within_circle(self, column: str, point: tuple[float, float], radius: float) -> DataFrame:
-        return spatial.within_circle(self.rows(), self.manifest.column(column), *point, radius)
+        return self._place(spatial.within_circle, self.manifest.column(column), "geo_within", *point, radius)
 
     def within_window(self, column: str, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
-        return spatial.within_window(self.rows(), self.manifest.column(column), x0, y0, x1, y1)
+        return self._place(spatial.within_window, self.manifest.column(column), "range_search", x0, y0, x1, y1)
 
     def text_search(self, column: str, query: str, k: int = 10) -> DataFrame:
         return self.knn(column, "text", query, k)

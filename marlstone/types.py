@@ -1,9 +1,7 @@
-"""SQL type names, and types inferred from CSV samples."""
+"""SQL type names, and types inferred from CSV cells."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +17,6 @@ SPARK_TYPES = {
 }
 
 TRUE_WORDS, BOOL_WORDS = ("1", "true", "t", "yes", "y"), ("true", "false", "t", "f", "yes", "no", "y", "n")
-SAMPLE_ROWS = 200
 
 
 def spark_type(name: str) -> T.DataType:
@@ -30,25 +27,21 @@ def spark_type(name: str) -> T.DataType:
         raise ValueError(f"unknown type {name}") from None
 
 
-def infer_type(values: list[str | None]) -> str:
-    """A SQL type for sampled cells: VARCHAR as soon as one is neither number nor boolean word, else FLOAT, INT, BOOL by what occurs."""
-    seen = set()
-    for v in values:
-        v = (v or "").strip()
-        if not v:
-            continue
-        if re.fullmatch(r"[-+]?\d+", v):
-            seen.add("BIGINT" if abs(int(v)) >= 2**31 else "INT")
-        elif re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", v):
-            seen.add("DOUBLE")
-        elif v.lower() in BOOL_WORDS:
-            seen.add("BOOL")
-        else:
-            return "VARCHAR"
-    for kind in ("DOUBLE", "BIGINT", "INT", "BOOL"):
-        if kind in seen:
-            return kind
-    return "VARCHAR"
+def cell_kinds(c: Column) -> Column:
+    """An aggregate: the kinds of a text column's cells that aren't empty, as SQL types."""
+    v = F.btrim(c)
+    whole = F.rlike(v, F.lit(r"^[-+]?\d+$"))
+    small = F.abs(v.try_cast("decimal(38,0)")) < 2**31
+    number = F.rlike(v, F.lit(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"))
+    kind = F.when(whole, F.when(small, "INT").when(v.try_cast("long").isNotNull(), "BIGINT").otherwise("VARCHAR")).when(number, "DOUBLE").when(F.lower(v).isin(*BOOL_WORDS), "BOOL").otherwise("VARCHAR")
+    return F.collect_set(F.when(v != "", kind))
+
+
+def type_of_kinds(seen: set[str]) -> str:
+    """VARCHAR as soon as one cell is neither number nor boolean word, or words and numbers are mixed, else the widest."""
+    if "VARCHAR" in seen or ("BOOL" in seen and len(seen) > 1):
+        return "VARCHAR"
+    return next((kind for kind in ("DOUBLE", "BIGINT", "INT", "BOOL") if kind in seen), "VARCHAR")
 
 
 def from_text(c: Column, kind: T.DataType) -> Column:
@@ -73,5 +66,5 @@ def as_declared(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def pad_vector(c: Column, n: int) -> Column:
-    """A vector cut or filled with zeros to n single-precision components."""
+    """A vector cut or filled with zeros to n single-precision components; null stays null."""
     return F.slice(F.concat(c.cast("array<float>"), F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n)

@@ -200,3 +200,86 @@ def test_manifest_of_files(spark, tmp_path):
     assert [(r["audio_id"], r["file_name"]) for r in rows] == [(1, "a.wav"), (2, "b.mp3"), (3, "c.MP3")]
     frames = sound_frames(spark, str(tmp_path), lambda b: [[float(x) for x in b]] * 2)
     assert frames.count() == 8
+
+
+def test_secondary_indexes(engine, spark):
+    """Indexes on other columns are built at once, follow the data, are read instead of the table, and prune."""
+    n = 3000
+    rows = ", ".join(f"({i}, {(i * 37) % 500}, 'n{i % 50}', '{(i * 7) % 100},{(i * 13) % 100}')" for i in range(n))
+    run(engine, f"CREATE TABLE s (id INT PRIMARY KEY, v INT, name TEXT, at TEXT); INSERT INTO s VALUES {rows}")
+    want = {q: sorted(ids(engine, q)) for q in ("SELECT id FROM s WHERE v = 74", "SELECT id FROM s WHERE v BETWEEN 10 AND 12", "SELECT id FROM s WHERE name = 'n7'", "SELECT id FROM s WHERE at IN (POINT(50, 50), 5)", "SELECT id FROM s WHERE at = '7,13'")}
+    want["SELECT id FROM s WHERE at BETWEEN '3,3' AND '20,9'"] = [i for i in range(n) if 3 <= i * 7 % 100 <= 20 and 3 <= i * 13 % 100 <= 9]  # a window only where an index says so
+    rs = run(engine, "CREATE INDEX ON s(v) USING bplus; CREATE INDEX ON s(name) USING hash; CREATE INDEX ON s(at) USING rtree")
+    assert all(r["ok"] for r in rs), rs
+    for q, found in want.items():
+        (r,) = run(engine, q)
+        assert sorted(x["id"] for x in r["data"]) == found and found
+        assert r["meta"]["index_usage"][0]["where"] == "secondary"
+        assert r["meta"]["io"]["read"] >= 1
+    t = engine.table("s")
+    assert t.check_index("v") == t.check_index("name") == t.check_index("at") == []
+    m = t.manifest
+    assert "EqualTo(v,74)" in engine.explain("SELECT id FROM s WHERE v = 74")
+    assert m.indexes["v"]["parts"][m.segments[0]] in engine.frame("SELECT id FROM s WHERE v = 74").inputFiles()[0]
+    run(engine, "DELETE FROM s WHERE v = 11; INSERT INTO s VALUES (9001, 12, 'n7', '50,50'), (9002, 600, 'z', 'nowhere')")
+    (r,) = run(engine, "SELECT id FROM s WHERE v BETWEEN 10 AND 12")
+    assert sorted(x["id"] for x in r["data"]) == sorted([i for i in range(n) if (i * 37) % 500 in (10, 12)] + [9001])
+    assert 9001 in ids(engine, "SELECT id FROM s WHERE at IN (POINT(50, 50), 0.5)")
+    assert 9001 in ids(engine, "SELECT id FROM s WHERE name = 'n7'")
+    assert run(engine, "SELECT id FROM s WHERE id = 5")[0]["meta"]["index_usage"] == [{"where": "primary", "index": "heap", "field": "id", "op": "search"}]
+
+
+def test_text_index_tokenises_new_segments_only(engine):
+    run(engine, "CREATE TABLE m (id INT PRIMARY KEY, t TEXT); INSERT INTO m VALUES (1, 'sea sand'), (2, 'snow ice'), (3, 'sea'); CREATE INDEX ON m(t) USING invtext")
+    before = engine.table("m").manifest.indexes["t"]["parts"]
+    run(engine, "INSERT INTO m VALUES (4, 'sand sand dune')")
+    assert set(ids(engine, "SELECT id FROM m WHERE t KNN <-> 'sand'")) == {1, 4}
+    after = engine.table("m").manifest.indexes["t"]["parts"]
+    assert len(after) == 2 and all(after[s] == p for s, p in before.items())
+    assert engine.table("m").check_index("t") == []
+    fresh = {r["id"]: round(r["similarity"], 9) for r in run(engine, "SELECT id FROM m WHERE t KNN <--> 'sand'")[0]["data"]}
+    assert fresh == {r["id"]: round(r["similarity"], 9) for r in run(engine, "SELECT id FROM m WHERE t KNN <-> 'sand'")[0]["data"]}
+
+
+def test_small_segments_merge(engine):
+    run(engine, "CREATE TABLE w (id INT PRIMARY KEY, v INT); CREATE INDEX ON w(v) USING bplus")
+    for i in range(20):
+        run(engine, f"INSERT INTO w VALUES ({i}, {i % 3})")
+    assert len(engine.table("w").manifest.segments) < 16
+    assert sorted(ids(engine, "SELECT id FROM w WHERE v = 1")) == [i for i in range(20) if i % 3 == 1]
+
+
+def test_long_results_go_to_a_folder(spark, tmp_path):
+    from marlstone.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "db"), most=5)
+    e.run("CREATE TABLE k (id INT PRIMARY KEY); INSERT INTO k VALUES (1), (2), (3), (4), (5), (6), (7)")
+    (r,) = e.run("SELECT id FROM k")["results"]
+    assert len(r["data"]) == 5 and spark.read.parquet(r["meta"]["path"]).count() == 7
+    (r,) = e.run("SELECT id FROM k WHERE id < 4")["results"]
+    assert len(r["data"]) == 3 and "path" not in r["meta"]
+    assert list(e.catalog.tables()) == ["k"]
+
+
+def test_csv_types_by_all_rows(engine, tmp_path):
+    (tmp_path / "a.csv").write_text("id,late,big,flag,mixed\n" + "".join(f"{i},{i},{i},yes,1\n" for i in range(500)) + f"500,word,{2**40},no,true\n")
+    (tmp_path / "b.csv").write_text("id,late,big,flag,mixed\n600,x,much,perhaps,y\n601,y,7,t,n\n")
+    rs = run(engine, f"CREATE TABLE c FROM FILE '{tmp_path}/a.csv'; SELECT late FROM c WHERE id = 500; INSERT INTO c FROM FILE '{tmp_path}/b.csv'")
+    assert [f["type"] for f in engine.catalog.tables()["c"]["relation"]] == ["INT", "VARCHAR", "BIGINT", "BOOL", "VARCHAR"]
+    assert rs[0]["meta"]["rejected"] == 0 and rs[1]["data"] == [{"late": "word"}]
+    assert rs[2]["meta"]["affected"] == 2 and rs[2]["meta"]["rejected"] == 1
+
+
+def test_vectors_of_declared_length(engine):
+    run(engine, "CREATE TABLE v (id INT PRIMARY KEY, e VECTOR(3)); INSERT INTO v VALUES (1, '[1, 2]'), (2, '[1, 2, 3, 4]')")
+    assert {r["id"]: r["e"] for r in run(engine, "SELECT id, e FROM v")[0]["data"]} == {1: [1.0, 2.0, 0.0], 2: [1.0, 2.0, 3.0]}
+
+
+def test_term_counts(spark):
+    from pyspark.sql import functions as F
+
+    from marlstone.functions.text import term_counts
+
+    rows = [("b a b c b A",), ("",), ("x",), ("?!",)]
+    got = [{y["term"]: y["tf"] for y in r[0]} for r in spark.createDataFrame(rows, "t string").select(term_counts(F.col("t"))).collect()]
+    assert got == [{"a": 2, "b": 3, "c": 1}, {}, {"x": 1}, {}]

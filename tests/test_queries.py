@@ -27,10 +27,12 @@ def test_kmeans(spark):
     best = np.inf
     for seed in range(5):
         c = x[np.random.default_rng(seed).choice(len(x), 10, replace=False)]
-        for _ in range(20):
+        for _ in range(500):  # until it converges
             d = ((x[:, None] - c[None]) ** 2).sum(-1)
             at = d.argmin(1)
-            c = np.array([x[at == i].mean(0) if (at == i).any() else c[i] for i in range(10)])
+            last, c = c, np.array([x[at == i].mean(0) if (at == i).any() else c[i] for i in range(10)])
+            if np.array_equal(last, c):
+                break
         best = min(best, ((x[:, None] - c[None]) ** 2).sum(-1).min(1).sum())
     assert sum(r["n"] for r in rows) == len(x)
     assert rows[0]["inertia"] <= 1.1 * best
