@@ -286,7 +286,10 @@ def voronoi(rows: DataFrame, sets: DataFrame, num: int, den: int, region: int =
 
     A loop over splits; each takes a fifth from the work of what it goes on with at least, and is materialised.
     """
-    size = sets.select("label", (F.length("shingles") / 8).cast("long").alias("n"))
+    labels = stash(rows.select("label").distinct(), "labels")
+    few = F.broadcast(labels) if labels.count() <= BROADCAST else labels
+    sets = stash(sets.join(few, "label", "left_semi"), "sets")  # those of large regions alone
+    size = stash(sets.select("label", (F.length("shingles") / 8).cast("long").alias("n")), "sizes")
     rows = stash(rows.select("region", "label", F.col("label").alias("part")).join(size, "label"), "large")
     edges = None
     for turn in itertools.count():
