@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.scratch import stash
+from marlstone.llm.scratch import drop, stash
 
 
 def _moved(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
@@ -25,14 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
     found = stash(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), "nodes")
     while not e.isEmpty():
         both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(e.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        up = stash(both.groupBy("v").agg(F.min("u").alias("p")).select("v", F.least("v", "p").alias("p")), "up")
+        up = held = stash(both.groupBy("v").agg(F.min("u").alias("p")).select("v", F.least("v", "p").alias("p")), "up")
         while True:
-            on = _moved(up.withColumn("q", F.col("p")), "q", up)
-            on = stash(on, "jump")
+            on = stash(_moved(up.withColumn("q", F.col("p")), "q", up), "jump")
+            drop(held)
+            up, held = on.select("v", F.col("q").alias("p")), on
             if on.where(F.col("p") != F.col("q")).isEmpty():
                 break
-            up = on.select("v", F.col("q").alias("p"))
+        before = found
         found = stash(_moved(found, "root", up), "found")
-        e = _moved(_moved(e, "a", up), "b", up).where(F.col("a") != F.col("b"))
-        e = stash(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        moved = _moved(_moved(e, "a", up), "b", up).where(F.col("a") != F.col("b"))
+        last, e = e, stash(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        drop(before, last, held)
+    drop(e)
     return found

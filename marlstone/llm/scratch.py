@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Paths of this application's intermediates in the order in which they were made.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,4 +42,30 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _MADE.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for x in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.remove(x)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete stashed frames whose last reader is done."""
+    for df in frames:
+        if (path := getattr(df, "_scratch", None)) in _MADE:
+            _delete(df.sparkSession, [path])
+
+
+def mark() -> int:
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, at: int, keep: DataFrame) -> None:
+    """Delete what was stashed after mark() gave `at`, but for `keep`."""
+    _delete(spark, [x for x in _MADE[at:] if x != getattr(keep, "_scratch", None)])
