@@ -2,7 +2,8 @@
 
 quality rules -> line dedup -> n-gram Jaccard join (one document of each group stays) -> mixing sources to target
 weights -> best-fit packing. Each stage takes what the one before kept, whole, and all but the last return the
-columns of documents. Between stages the rows are materialised in the shared folder.
+columns of documents. Between stages the rows are materialised in the shared folder; a stage's intermediates and its
+input go when its output is written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import jaccard, lines, mixing, packing, quality
-from marlstone.llm.scratch import stash
+from marlstone.llm.scratch import drop, drop_since, mark, stash
 from marlstone.llm.text import SPACES
 
 
@@ -64,5 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        at, before = mark(), docs
+        docs = stash(stage(spark, before, sf_dir), name)
+        drop_since(spark, at, keep=docs)  # what the stage needed, and what it read: both have had their last reader
+        drop(before)
     return docs
