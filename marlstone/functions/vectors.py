@@ -15,7 +15,8 @@ def norm(a: Column) -> Column:
 
 
 def literal(v: list[float]) -> Column:
-    return F.array(*(F.lit(float(x)) for x in v))
+    """A constant vector; as text, so that it takes one call to the JVM however long it is."""
+    return F.expr(f"array({', '.join(f'double({float(x)!r})' if x == x and abs(x) != float('inf') else f"double('{x}')" for x in v)})") if v else F.array().cast("array<double>")
 
 
 def cosine(a: Column, b: Column) -> Column:

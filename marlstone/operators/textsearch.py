@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import has_text, query_tokens, term_counts, text_idf
@@ -50,6 +50,21 @@ def weighted(tf: DataFrame, idf: DataFrame, length: DataFrame) -> DataFrame:
     return tf.join(idf.select("term", "idf"), "term").join(length, "doc").select("term", "doc", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
 
 
+def store_frequencies(docs: DataFrame, key: str, column: str, path: str) -> int:
+    """Write docs' term frequencies to path; returns the corpus size, counted on the way."""
+    if docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism:
+        docs = docs.select(key, column).repartition(key)  # few files would leave cores without work
+    seen = Observation()
+    term_frequencies(docs.where(has_text(docs[column])).observe(seen, F.count(F.lit(1)).alias("n")), key, column).write.parquet(path)
+    return seen.get["n"]
+
+
+def _broadcast_by_itself(df: DataFrame) -> bool:
+    """Whether Spark broadcasts a stored table of this size."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
 #: Terms whose idf a reader of a stored index keeps; it starts anew beyond.
 KNOWN = 100_000
 
@@ -61,34 +76,36 @@ class TextIndex:
     idf: DataFrame
     postings: DataFrame
     stored: bool = False  # whether reading a few rows of idf is cheap
-    source: tuple[DataFrame, DataFrame] | None = None  # term frequencies and corpus size that it is made from
+    source: tuple[DataFrame, str, str] | None = None  # documents, key and column that it is made from
     known: dict[str, float] = field(default_factory=dict)  # idfs of terms asked for before, 0 for those that have none
 
-    @staticmethod
-    def of(tf: DataFrame, n: DataFrame) -> TextIndex:
-        idf = idfs(document_frequencies(tf), n)
-        return TextIndex(idf, weighted(tf, idf, norms(tf, idf)), source=(tf, n))
-
     @staticmethod
     def build(docs: DataFrame, key: str, column: str) -> TextIndex:
-        return TextIndex.of(term_frequencies(docs, key, column), corpus_size(docs, column))
+        tf = term_frequencies(docs, key, column)
+        idf = idfs(document_frequencies(tf), corpus_size(docs, column))
+        return TextIndex(idf, weighted(tf, idf, norms(tf, idf)), source=(docs, key, column))
 
     def write(self, path: str) -> None:
         """Write the index, step by step, so that texts are tokenised once."""
-        tf, n = self.source
-        spark = tf.sparkSession
-        tf.write.parquet(f"{path}/tf")
-        TextIndex.finish(spark.read.parquet(f"{path}/tf"), n, path)
+        docs, key, column = self.source
+        n = store_frequencies(docs, key, column, f"{path}/tf")
+        TextIndex.finish(docs.sparkSession.read.parquet(f"{path}/tf"), n, path)
 
     @staticmethod
-    def finish(tf: DataFrame, n: DataFrame, path: str) -> None:
-        """The second step, from stored term frequencies."""
+    def finish(tf: DataFrame, n: int, path: str) -> None:
+        """The second step, from stored term frequencies and the corpus size."""
         spark = tf.sparkSession
-        idfs(document_frequencies(tf), n).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/idf")
+        df = document_frequencies(tf).select("term", "df", text_idf(F.lit(n), F.col("df")).alias("idf")).where("idf > 0")
+        df.sortWithinPartitions("term").write.parquet(f"{path}/idf")
         idf = spark.read.parquet(f"{path}/idf")
         norms(tf, idf).write.parquet(f"{path}/norms")
-        postings = weighted(tf, idf, spark.read.parquet(f"{path}/norms"))
-        postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
+        length = spark.read.parquet(f"{path}/norms")
+        ranges = ("term", "doc")  # a term that very many documents have takes several ranges
+        if _broadcast_by_itself(idf) and _broadcast_by_itself(length):  # the joins keep the ranges, which are then drawn from the stored frequencies
+            postings = weighted(tf.repartitionByRange(*ranges), idf, length)
+        else:
+            postings = weighted(tf, idf, length).repartitionByRange(*ranges)
+        postings.sortWithinPartitions(*ranges).write.parquet(f"{path}/postings")
 
     @staticmethod
     def read(spark, path: str) -> TextIndex:

@@ -37,7 +37,7 @@ def list_sizes(lists: DataFrame, total: int) -> dict[int, float]:
 
 def is_candidate(vector: Column, query: list[float], threshold: float = 0.0) -> Column:
     """The same as `candidates` decides, on the vector itself."""
-    return F.exists(F.zip_with(vector, F.array(*(F.lit(x > 0) for x in query)), lambda x, asked: asked & (x > threshold)), lambda x: F.coalesce(x, F.lit(False)))
+    return F.exists(F.zip_with(vector, F.expr(f"array({', '.join(str(x > 0).lower() for x in query)})"), lambda x, asked: asked & (x > threshold)), lambda x: F.coalesce(x, F.lit(False)))
 
 
 def nearest_by_index(df: DataFrame, lists: DataFrame, key: str, vector: str, query: list[float], k: int, shares: dict[int, float] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from marlstone.functions.media import path_vector, path_vectors
 from marlstone.functions.text import has_text
 from marlstone.functions.vectors import parse_vector
 from marlstone.operators import relational, spatial, vectorsearch
-from marlstone.operators.textsearch import TextIndex, corpus_size, index_statistics, knn_text, term_frequencies
+from marlstone.operators.textsearch import TextIndex, index_statistics, knn_text, store_frequencies
 from marlstone.sources.csv import count_rejected, read_csv
 
 
@@ -229,13 +229,11 @@ class Table:
 
             def make(rows: DataFrame) -> dict:
                 part = self.catalog.new_folder(m.table, "indexes")
-                term_frequencies(rows, m.key, column).write.parquet(part)
-                return {"tf": part, "n": corpus_size(rows, column).first()["n"]}
+                return {"tf": part, "n": store_frequencies(rows, m.key, column, part)}
 
             self._parts(m, column, make)  # only new segments are tokenised
             parts = index["parts"].values()
-            n = self.spark.range(1).select(F.lit(sum(p["n"] for p in parts)).cast("long").alias("n"))
-            TextIndex.finish(self.spark.read.parquet(*(p["tf"] for p in parts)), n, path)
+            TextIndex.finish(self.spark.read.parquet(*(p["tf"] for p in parts)), sum(p["n"] for p in parts), path)
         else:
             vectors = self._image_histograms(base, m.key, column) if index["method"] == "bovw" else self._audio_vectors(base, m.key, column)
             vectors.write.parquet(f"{path}/vectors")
