@@ -10,7 +10,7 @@ from marlstone.functions.vectors import cosine_to, norm
 
 def nearest_by_cosine(df: DataFrame, key: str, vector: str, query: list[float], k: int, newest_first: bool = False) -> DataFrame:
     """df's rows with similarity, best first. Ties by key, descending where newest_first. Vectors of another length never match."""
-    out = df.withColumn("similarity", cosine_to(df[vector], query)).where(F.col("similarity").isNotNull())
+    out = df.withColumn("similarity", cosine_to(vector, query)).where(F.col("similarity").isNotNull())
     return out.orderBy(F.desc("similarity"), F.desc(key) if newest_first else F.asc(key)).limit(k)
 
 
@@ -35,9 +35,10 @@ def list_sizes(lists: DataFrame, total: int) -> dict[int, float]:
     return {r["word"]: r["n"] / max(total, 1) for r in lists.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def is_candidate(vector: Column, query: list[float], threshold: float = 0.0) -> Column:
+def is_candidate(vector: str, query: list[float], threshold: float = 0.0) -> Column:
     """The same as `candidates` decides, on the vector itself."""
-    return F.exists(F.zip_with(vector, F.expr(f"array({', '.join(str(x > 0).lower() for x in query)})"), lambda x, asked: asked & (x > threshold)), lambda x: F.coalesce(x, F.lit(False)))
+    asked = ", ".join(str(x > 0).lower() for x in query)
+    return F.expr(f"exists(zip_with(`{vector}`, array({asked}), (x, a) -> a AND x > double({threshold!r})), x -> coalesce(x, false))")
 
 
 def nearest_by_index(df: DataFrame, lists: DataFrame, key: str, vector: str, query: list[float], k: int, shares: dict[int, float] | None = None) -> DataFrame:
@@ -48,7 +49,7 @@ def nearest_by_index(df: DataFrame, lists: DataFrame, key: str, vector: str, que
     """
     words = [i for i, x in enumerate(query) if x > 0]
     if shares is not None and max((shares.get(w, 0.0) for w in words), default=0.0) > DENSE:
-        return nearest_by_cosine(df.where(is_candidate(df[vector], query)), key, vector, query, k, newest_first=True)
+        return nearest_by_cosine(df.where(is_candidate(vector, query)), key, vector, query, k, newest_first=True)
     found = candidates(lists, query).withColumnRenamed("doc", "_candidate")
     near = df.join(found, df[key] == found["_candidate"], "left_semi")
     return nearest_by_cosine(near, key, vector, query, k, newest_first=True)
