@@ -262,8 +262,8 @@ def _begin(limit: int):
     return run
 
 
-def _epoch(limit: int, islands: int, epoch: int, seed: int, children: int, population: int):
-    """An island's population and its guest from the island before, further bred; and its elite for the next one."""
+def _epoch(limit: int, islands: int, epoch: int, last: bool, seed: int, children: int, population: int):
+    """An island's population and its guest from the island before, further bred; and its elite for the next one. At last its best alone."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(rows["shard"].iloc[0]), int(rows["island"].iloc[0])
@@ -271,8 +271,8 @@ def _epoch(limit: int, islands: int, epoch: int, seed: int, children: int, popul
         own, guests = rows[rows["source"] == island], rows[rows["source"] != island]
         start = _packings(own["bins"]) + (_packings(guests["bins"]) if len(guests) else [])
         pool = evolve(own["length"].astype(int).tolist(), limit, start, hash((seed, shard, island, epoch)), children, population)
-        out = pd.DataFrame({"uid": own["uid"].to_numpy(), "length": own["length"].to_numpy(), "shard": shard, "island": island, "source": island, "bins": _columns(pool, len(own))})
-        if islands == 1:
+        out = pd.DataFrame({"uid": own["uid"].to_numpy(), "length": own["length"].to_numpy(), "shard": shard, "island": island, "source": island, "bins": _columns(pool[:1] if last else pool, len(own))})
+        if islands == 1 or last:
             return out
         return pd.concat([out, out.assign(island=(island + 1) % islands, bins=_columns(pool[:1], len(own)))])
 
@@ -284,7 +284,6 @@ def _choose(limit: int, level: int, last: bool, residue: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
-        rows = rows[rows["island"] == rows["source"]]
         rows = rows.assign(bin=rows["bins"].map(lambda x: x[0]))
         own = min((g for _, g in rows.groupby("island", sort=True)), key=lambda g: (g["bin"].nunique(), -float(((g.groupby("bin")["length"].sum() / limit) ** 2).sum())))
         own = own.sort_values(["bin", "length", "uid"], ascending=[True, False, True], kind="stable")
@@ -312,7 +311,7 @@ def pack(items: DataFrame, limit: int = LIMIT, shard: int = SHARD, islands: int
         rows = begun.where("not done").select("uid", "length", "shard", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), "bins")
         rows = rows.select("uid", "length", "shard", "island", F.col("island").alias("source"), "bins")
         for epoch in range(epochs):
-            rows = rows.groupBy("shard", "island").applyInPandas(_epoch(limit, islands, epoch, seed, children, population), _ITEM)
+            rows = rows.groupBy("shard", "island").applyInPandas(_epoch(limit, islands, epoch, epoch == epochs - 1, seed, children, population), _ITEM)
         rows = rows.unionByName(begun.where("done").select("uid", "length", "shard", F.lit(0).alias("island"), F.lit(0).alias("source"), "bins"))
         done = rows.groupBy("shard").applyInPandas(_choose(limit, level, shards == 1, RESIDUE), "uid long, length long, sequence_id long, offset long")
         done = stash(done, f"packed{level}")
