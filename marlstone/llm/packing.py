@@ -71,6 +71,7 @@ class Words:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.marks = {c: self._whole([c])[0] for c in ".,;:!?"}
+        self.byte_marks = {ord(c): ids for c, ids in self.marks.items()}
         letters = [c for c in map(chr, range(0x41, 0x180)) if LATIN.fullmatch(c)]
         samples = ["Abc", "straße", "Œuvre", "ÉTÉ", "niño", "thththat", "x", "ÿ", "a" * 70, *(f"{c}a{c}on" for c in letters)]
         self.direct = all(self._whole([f"{w}{c}"])[0] == self._latin(w.lower()) + self.marks.get(c, b"") for w in samples for c in ["", *self.marks])
@@ -84,21 +85,26 @@ class Words:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        young, old, rest = self.young, self.old, []
+        young, old, rest, marks = self.young, self.old, [], self.byte_marks
         for w in words:
             if w in old:
                 young[w] = old[w]
                 continue
-            text = w.decode("utf-8", "replace")
-            m = LATIN.fullmatch(text) if self.direct else None
-            if not m:
-                rest.append((w, text))
+            mark = marks.get(w[-1], b"")
+            bare = w[:-1] if mark else w
+            if not self.direct:
+                rest.append((w, w.decode("utf-8", "replace")))
                 continue
-            bare = m[1].lower()
-            key = bare.encode()
-            ids = young.get(key) or old.get(key) or self._latin(bare)
-            young[key] = ids
-            young[w] = ids + self.marks[m[2]] if m[2] else ids
+            if bare.isalpha():  # ASCII letters only
+                key = bare.lower()
+            elif m := LATIN.fullmatch(w.decode("utf-8", "replace")):
+                key = m[1].lower().encode()
+            else:
+                rest.append((w, w.decode("utf-8", "replace")))
+                continue
+            if not (ids := young.get(key) or old.get(key)):
+                ids = young[key] = self._latin(key.decode())
+            young[w] = ids + mark if mark else ids
         for a in range(0, len(rest), 4096):
             part = rest[a : a + 4096]
             young.update(zip([w for w, _ in part], self._whole([t for _, t in part]), strict=True))
