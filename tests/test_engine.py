@@ -283,3 +283,16 @@ def test_term_counts(spark):
     rows = [("b a b c b A",), ("",), ("x",), ("?!",)]
     got = [{y["term"]: y["tf"] for y in r[0]} for r in spark.createDataFrame(rows, "t string").select(term_counts(F.col("t"))).collect()]
     assert got == [{"a": 2, "b": 3, "c": 1}, {}, {"x": 1}, {}]
+
+
+def test_empty_inputs(engine, spark, tmp_path):
+    """Files without rows, frames without rows, and segments in which no row has text."""
+    (tmp_path / "e.csv").write_text("id,t\n")
+    rs = run(engine, f"CREATE TABLE c FROM FILE '{tmp_path}/e.csv'; INSERT INTO c FROM FILE '{tmp_path}/e.csv'; SELECT * FROM c")
+    assert [r["ok"] for r in rs] == [True] * 3 and rs[1]["meta"]["affected"] == 0 and rs[2]["data"] == []
+    run(engine, "CREATE TABLE k (id INT PRIMARY KEY, t TEXT)")
+    assert engine.table("k").build(spark.createDataFrame([], "id int, t string")) == 0
+    run(engine, "INSERT INTO k VALUES (1, '  ')")
+    assert not run(engine, "CREATE INDEX ON k(t) USING invtext")[0]["ok"]
+    run(engine, "INSERT INTO k VALUES (3, 'sea'), (4, 'sand sea'); CREATE INDEX ON k(t) USING invtext; INSERT INTO k VALUES (5, ' ')")
+    assert ids(engine, "SELECT id FROM k WHERE t KNN <-> 'sand'") == [4]
