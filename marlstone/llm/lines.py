@@ -21,7 +21,7 @@ from marlstone.llm.text import SPACES
 
 #: Sites from which on a line is boilerplate, and registers of a sketch as a power of two.
 MIN_SITES, LG_REGISTERS = 10, 10
-#: The most bytes of lists of removed lines that are broadcast; more are joined by a shuffle.
+#: The most bytes of lists of removed lines that are broadcast, as rows and their hash table take them; more are joined by a shuffle.
 BROADCAST = 64 << 20
 
 
@@ -65,7 +65,7 @@ def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text"
     found = boilerplate(plain, i, t, name[site], min_sites, lg_registers)
     hits = _lines(plain, t, plain[i].alias("id")).join(found, "h").where(F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first"))))
     gone = stash(hits.groupBy("id").agg(F.collect_set("h").alias("_gone")).withColumnRenamed("id", "_id"), "gone")
-    size = gone.agg(F.sum(F.size("_gone") * 8 + 32)).first()[0] or 0
+    size = gone.agg(F.sum(F.size("_gone") * 8 + 128)).first()[0] or 0
     x = plain.join(F.broadcast(gone) if size <= BROADCAST else gone, plain[i].eqNullSafe(gone["_id"]), "left")
     split = F.split(F.coalesce(t, F.lit("")), "\n")
     full = lambda a: F.size(F.filter(a, lambda y: _bare(y) != ""))

@@ -45,7 +45,7 @@ PREFIXES = (1, 2, 4, 8)
 PRINTS, GROUP, BUFFER, PIECE = 1_000_000, 500_000, 500_000, 1 << 20
 #: Bits of the cells of a prefix length's counts: some four cells for each group, between these bounds.
 CELL_BITS = (14, 22)
-#: The most bytes of candidates or removed spans that are broadcast; more are joined by a shuffle.
+#: The most bytes of candidates or removed spans that are broadcast, as rows and their hash table take them; more are joined by a shuffle.
 BROADCAST = 64 << 20
 
 NO_ID = np.iinfo(np.int64).max  # a null id is larger than all others
@@ -438,7 +438,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         counts[r["buffer"] * SLICE : (r["buffer"] + 1) * SLICE] = np.frombuffer(r["a"], np.int64)
     few = list(counts.reshape(len(levels), -1) <= group)
     hits = stash(found.where("kind < 2").groupBy("buffer").applyInArrow(_candidates, "_id long, _text long, base long, bits binary, n long"), "candidates")
-    total = hits.agg(F.sum("n").alias("n"), F.sum(F.octet_length("bits") + 48).alias("s")).first()
+    total = hits.agg(F.sum("n").alias("n"), F.sum(F.octet_length("bits") + 160).alias("s")).first()
     by_doc = hits.dropDuplicates(["_id", "_text", "base"]).groupBy("_id", "_text").agg(F.collect_list(F.struct("base", "bits")).alias("found"))
     chosen = _steady(_joined_to(narrow, by_doc, total["s"] or 0, "inner"))
     groups = max(1, -(-(total["n"] or 0) // group))
@@ -484,7 +484,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # safe from names that clash with ours
     name = dict(zip(docs.columns, plain.columns, strict=True))
     spans = stash(repeated_spans(plain, name[key], name[text], window, **options), "repeats")
-    size = spans.agg(F.sum(F.size("_removed") * 4 + 40)).first()[0] or 0
+    size = spans.agg(F.sum(F.size("_removed") * 4 + 128)).first()[0] or 0
     x = plain.select(*plain.columns, plain[name[key]].cast("long").alias("i"), F.xxhash64(plain[name[text]]).alias("h"))
     x = _joined_to(x, spans, size, "left").select(*plain.columns, _keep(digest)(F.col(name[text]).cast("binary"), F.col("_removed")).alias("_x"))
     return x.select(*plain.columns, "_x.n_words", "_x.n_removed", F.col("_x.kept").cast("string").alias("k")).toDF(*docs.columns, "_n_words", "_n_removed", "_kept")
