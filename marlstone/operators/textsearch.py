@@ -50,11 +50,15 @@ def weighted(tf: DataFrame, idf: DataFrame, length: DataFrame) -> DataFrame:
     return tf.join(idf.select("term", "idf"), "term").join(length, "doc").select("term", "doc", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
 
 
+def spread(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """The two columns, dealt to more tasks where few files would leave cores without work; as they come otherwise."""
+    narrow = docs.select(key, column)
+    return narrow.repartition(key) if narrow.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism else narrow
+
+
 def store_frequencies(docs: DataFrame, key: str, column: str, path: str) -> int:
     """Write docs' term frequencies to path; returns the corpus size, counted on the way."""
-    if docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism:
-        docs = docs.select(key, column).repartition(key)  # few files would leave cores without work
-    seen = Observation()
+    docs, seen = spread(docs, key, column), Observation()
     term_frequencies(docs.where(has_text(docs[column])).observe(seen, F.count(F.lit(1)).alias("n")), key, column).write.parquet(path)
     return seen.get["n"]
 
@@ -81,7 +85,7 @@ class TextIndex:
 
     @staticmethod
     def build(docs: DataFrame, key: str, column: str) -> TextIndex:
-        tf = term_frequencies(docs, key, column)
+        tf = term_frequencies(spread(docs, key, column), key, column)
         idf = idfs(document_frequencies(tf), corpus_size(docs, column))
         return TextIndex(idf, weighted(tf, idf, norms(tf, idf)), source=(docs, key, column))
 
