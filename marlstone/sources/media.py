@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.media import AUDIO_EXTENSIONS, IMAGE_EXTENSIONS, image_histogram, media_kind
+from marlstone.functions.mfcc import mfcc, read_wave, resampled
 
 
 def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = AUDIO_EXTENSIONS) -> DataFrame:
@@ -64,13 +65,16 @@ def sound_frames(spark: SparkSession, folder: str, extract: Callable[[bytes], li
 
 
 def mfcc_extractor(coefficients: int = 13, rate: int = 22_050, seconds: float = 30.0) -> Callable[[bytes], list[list[float]]]:
-    """MFCC frames by librosa, where that is installed."""
+    """MFCC frames of a file's first seconds in mono: by librosa where that is installed, else for PCM WAVE files, by numpy."""
 
     def extract(content: bytes) -> list[list[float]]:
+        try:
+            import librosa
+        except ImportError:
+            y, sr = read_wave(content, seconds)
+            return mfcc(resampled(y, sr, rate), rate, coefficients).tolist()
         import io
 
-        import librosa
-
         y, sr = librosa.load(io.BytesIO(content), sr=rate, mono=True, duration=seconds)
         return librosa.feature.mfcc(y=y, sr=sr, n_mfcc=coefficients).T.tolist()
 

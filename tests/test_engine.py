@@ -296,3 +296,54 @@ def test_empty_inputs(engine, spark, tmp_path):
     assert not run(engine, "CREATE INDEX ON k(t) USING invtext")[0]["ok"]
     run(engine, "INSERT INTO k VALUES (3, 'sea'), (4, 'sand sea'); CREATE INDEX ON k(t) USING invtext; INSERT INTO k VALUES (5, ' ')")
     assert ids(engine, "SELECT id FROM k WHERE t KNN <-> 'sand'") == [4]
+
+
+def _wave(samples, rate=22_050, width=2, channels=1) -> bytes:
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(channels)
+        f.setsampwidth(width)
+        f.setframerate(rate)
+        full = 2 ** (8 * width - 1) - 1
+        v = np.repeat(np.rint(np.asarray(samples) * full).astype(np.int64), channels)
+        f.writeframes(b"".join(int(x + (128 if width == 1 else 0)).to_bytes(width, "little", signed=width > 1) for x in v))
+    return out.getvalue()
+
+
+def test_mfcc_by_formula():
+    """One frame by the definitions, term by term."""
+    from marlstone.functions import mfcc as M
+
+    rate = 22_050
+    y = np.sin(2 * np.pi * 440 * np.arange(6000) / rate) + 0.3 * np.random.default_rng(1).standard_normal(6000)
+    got = M.mfcc(y, rate)
+    assert got.shape == (1 + 6000 // M.HOP, 13)
+    frames = []
+    for t in range(len(got)):
+        x = np.array([(y[i] if 0 <= i < len(y) else 0.0) for i in range(t * M.HOP - M.WINDOW // 2, t * M.HOP + M.WINDOW // 2)]) * np.sin(np.pi * np.arange(M.WINDOW) / M.WINDOW) ** 2
+        frames.append([abs((x * np.exp(-2j * np.pi * k * np.arange(M.WINDOW) / M.WINDOW)).sum()) ** 2 for k in range(0, M.WINDOW // 2 + 1)] if t == 5 else None)
+    bands = M.mel_filters(rate)
+    assert bands.shape == (128, 1025) and np.allclose(bands[20:].sum(axis=1) * rate / M.WINDOW, 1, rtol=0.2)
+    whole = np.lib.stride_tricks.sliding_window_view(np.pad(y, M.WINDOW // 2), M.WINDOW)[:: M.HOP] * np.sin(np.pi * np.arange(M.WINDOW) / M.WINDOW) ** 2
+    loud = max(10 * np.log10(max(1e-10, (bands @ (abs(np.fft.rfft(f)) ** 2)).max())) for f in whole)
+    db = [max(10 * np.log10(max(1e-10, float(b @ np.array(frames[5])))), loud - 80) for b in bands]
+    want = [sum(d * np.cos(np.pi * k * (2 * n + 1) / 256) for n, d in enumerate(db)) * np.sqrt((1 if k == 0 else 2) / 128) for k in range(13)]
+    assert np.allclose(got[5], want, atol=1e-6)
+
+
+def test_mfcc_of_files(spark, tmp_path):
+    from marlstone.sources.media import mfcc_extractor, sound_frames
+
+    tone = lambda rate: 0.5 * np.sin(2 * np.pi * 440 * np.arange(rate) / rate)
+    for name, data in {"a.wav": _wave(tone(22_050)), "b.wav": _wave(tone(44_100), 44_100, 3, 2), "c.wav": _wave(tone(22_050), width=1), "broken.wav": b"RIFF no sound", "empty.wav": _wave([])}.items():
+        (tmp_path / name).write_bytes(data)
+    frames = {}
+    for r in sound_frames(spark, str(tmp_path), mfcc_extractor()).collect():
+        frames.setdefault(r["path"].rsplit("/", 1)[1], []).append(r["frame"])
+    assert set(frames) == {"a.wav", "b.wav", "c.wav"}
+    assert {len(x) for x in frames.values()} == {44} and {len(f) for x in frames.values() for f in x} == {13}
+    a, b = np.array(frames["a.wav"])[5:-5], np.array(frames["b.wav"])[5:-5]
+    assert np.abs(a[:, 1:4] - b[:, 1:4]).max() < 15  # the same tone at another rate, width and number of channels
