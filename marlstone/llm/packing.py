@@ -50,6 +50,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
 
 
+class _Known(dict):
+    """Ids by words; a word that isn't there is learnt."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, w: bytes) -> bytes:
+        return self.words.learn(w)
+
+
 class Words:
     """Ids of words between ASCII spaces under a tokenizer that never joins anything across white space, as bytes.
 
@@ -68,7 +79,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self.young: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = _Known(self)
         self.old: dict[bytes, bytes] = {}
         self.marks = {c: self._whole([c])[0] for c in ".,;:!?"}
         self.byte_marks = {ord(c): ids for c, ids in self.marks.items()}
@@ -84,42 +95,35 @@ class Words:
             word = "".join(map(self.letters.__getitem__, word.encode()))
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        young, old, rest, marks = self.young, self.old, [], self.byte_marks
-        for w in words:
-            if w in old:
-                young[w] = old[w]
-                continue
-            mark = marks.get(w[-1], b"")
+    def learn(self, w: bytes) -> bytes:
+        """The ids of a word that isn't among the young ones."""
+        young, old = self.young, self.old
+        if (ids := old.get(w)) is None:
+            mark = self.byte_marks.get(w[-1], b"") if self.direct else b""
             bare = w[:-1] if mark else w
-            if not self.direct:
-                rest.append((w, w.decode("utf-8", "replace")))
-                continue
-            if bare.isalpha():  # ASCII letters only
+            if self.direct and bare.isalpha():  # ASCII letters only
                 key = bare.lower()
-            elif m := LATIN.fullmatch(w.decode("utf-8", "replace")):
+            elif self.direct and (m := LATIN.fullmatch(w.decode("utf-8", "replace"))):
                 key = m[1].lower().encode()
             else:
-                rest.append((w, w.decode("utf-8", "replace")))
-                continue
-            if not (ids := young.get(key) or old.get(key)):
-                ids = young[key] = self._latin(key.decode())
-            young[w] = ids + mark if mark else ids
-        for a in range(0, len(rest), 4096):
-            part = rest[a : a + 4096]
-            young.update(zip([w for w, _ in part], self._whole([t for _, t in part]), strict=True))
+                key = b""
+            if not key:
+                ids = self._whole([w.decode("utf-8", "replace")])[0]
+            else:
+                if not (ids := young.get(key) or old.get(key)):
+                    ids = self._latin(key.decode())
+                    if len(key) <= self.LONGEST:
+                        young[key] = ids
+                ids += mark
+        if len(w) <= self.LONGEST:
+            young[w] = ids
+        return ids
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(x or b"").split() for x in texts]
         if len(self.young) > self.MOST:
-            self.old, self.young = self.young, {}
-        words = set().union(*split)
-        self._learn(words - self.young.keys())
-        out = [b"".join(map(self.young.__getitem__, ws)) for ws in split]
-        for w in [w for w in words if len(w) > self.LONGEST]:
-            self.young.pop(w, None)
-            self.young.pop(w.lower(), None)
-        return out
+            self.old, self.young = self.young, _Known(self)
+        known = self.young.__getitem__
+        return [b"".join(map(known, (x or b"").split())) for x in texts]
 
 
 def cut(ids: bytes, limit: int) -> Iterator[tuple[int, int, bytes]]:
