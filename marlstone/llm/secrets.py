@@ -11,10 +11,11 @@ Latin-1 and between binary data. Stretches of UTF-16 and UTF-32 are layers too.
 match, as no 16 ASCII characters follow each other, are left.
 Each layer carries, for each character, where in the outermost text it comes from, and spans are mapped back.
 
-Streams unpack step by step. What one unpacks to is a layer of its own up to WINDOW bytes. More comes in windows that overlap by
-OVERLAP and are scanned at once, one after the other, each with the layers in it, so a text that expands a
-thousandfold takes the memory of a few windows. All of a stream's content stands for the same span, so a match that
-two windows show is one. What is longer than OVERLAP and crosses a window's end, as a stream in the stream, is read up to there.
+Streams unpack step by step, of any of zlib's window sizes, and in streams too. What one unpacks to is a layer of its own up to
+WINDOW bytes. More is read in windows that overlap by OVERLAP, as often as needed, so a text that expands a thousandfold takes
+the memory of a few windows. All of it stands for the same span, so it only matters whether a kind matches in it. What starts
+in a window and goes on beyond it, as a stream, a base64 run or a stretch of UTF-16 in a stream, is read to its end from
+the content itself, once, and later windows go on behind it.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
-import itertools
 import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -50,27 +51,44 @@ BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|\\r\\n|\\n)[ \t]*")
 LEAST_RUN = 16
 BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{{LEAST_RUN},}}+|[A-Za-z0-9+/_-]++(?={BREAK.pattern}[A-Za-z0-9+/_-]))(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)*={{0,2}}")
 PIECE = re.compile(rf"[A-Za-z0-9+]{{{LEAST_RUN},}}")
-STREAM = re.compile(rb"(?P<gzip>\x1f\x8b\x08)|(?P<zlib>x[\x01\x5e\x9c\xda])|(?P<bzip2>BZh[1-9])|(?P<xz>\xfd7zXZ\0)")
-STREAM_TEXT = re.compile(STREAM.pattern.decode("latin-1"))
+#: A zlib stream starts with its window's size and a second byte that makes both divisible by 31; none that need a dictionary.
+ZLIB = b"|".join(b"%b[%b]" % (re.escape(bytes([a])), b"".join(b"\\x%02x" % b for b in range(256) if (a * 256 + b) % 31 == 0 and not b & 32)) for a in range(0x08, 0x80, 0x10))
+STREAM = re.compile(rb"(?P<gzip>\x1f\x8b\x08)|(?P<zlib>%b)|(?P<bzip2>BZh[1-9])|(?P<xz>\xfd7zXZ\0)" % ZLIB)
+STREAM_START = re.compile(re.sub(rb"\(\?P<\w+>(\\\(|[^)])*?\)", lambda m: m[0][m[0].index(b">") + 1 : -1], STREAM.pattern))  # without groups, so faster to search
+STREAM_TEXT = re.compile(STREAM_START.pattern.decode("latin-1"))
+#: The longest of these starts. Members of two kinds may be padded.
+START, PADDED, ZEROS = 6, ("gzip", "xz"), re.compile(rb"\0*")
 OPEN = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ)}
-#: Bytes given to a decompressor and taken from it at once; of a layer of a stream's content, and what two of these share.
+#: Bytes given to a decompressor and taken from it at once; of a window of a stream's content, and what two of these share.
 STEP, TAKEN, WINDOW, OVERLAP = 1 << 12, 1 << 20, 1 << 22, 1 << 18
 BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
 #: The shortest match, or encoding of one, has 16 characters of ASCII in a row, which in UTF-16 and UTF-32 stand between NULs.
 ASCII = r"[\t\n\r\x20-\x7e]"
 WIDE = [(name, zeros, re.compile(rf"(?:\0{{{zeros}}})?(?:{ASCII}\0{{{zeros}}}){{15,}}{ASCII}?")) for name, zeros in (("utf16", 1), ("utf32", 3))]
 LIVE = re.compile(rf"{ASCII}{{16}}|(?:{ASCII}\0){{15}}|(?:{ASCII}\0\0\0){{15}}".encode())
+LIVE_TEXT = re.compile(LIVE.pattern.decode())
+#: Of base64 in a long content: what starts a run over lines, a line and a part of one, how each goes on, and what may come yet to a break.
+RUNS = {
+    "run": (BASE64, re.compile(rf"[A-Za-z0-9+/_-]*+(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)*")),
+    "line": (re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}"), re.compile(r"[A-Za-z0-9+/_-]*")),
+    "piece": (PIECE, re.compile(r"[A-Za-z0-9+]*")),
+}
+UNDONE = re.compile(r"[ \t]*(?:\\(?:r\\?)?|(?:\r\n?|\n|\\r\\n|\\n)[ \t]*)?\Z")
+#: Blanks beyond BLANKS in a row, which patterns take any number of; the longest start of a match with fewer that says nothing yet.
+BLANKS, UNTOLD = 64, 256
+MANY = re.compile(rf"\x20{{{BLANKS + 1},}}")
 
 Span = tuple[int, int, int]
+Parts = Callable[[], Iterable]
 
 
 class Layer:
     """A text and, for each of its characters, the span of the outermost text that it stands for (None: itself)."""
 
-    __slots__ = ("hi", "lo", "path", "stop", "text", "window")
+    __slots__ = ("hi", "lo", "path", "stop", "text")
 
-    def __init__(self, text: str, lo: np.ndarray | None = None, hi: np.ndarray | None = None, path: str = "", stop: int | None = None, window: bool = False):
-        self.text, self.lo, self.hi, self.path, self.window = text, lo, hi, path, window
+    def __init__(self, text: str, lo: np.ndarray | None = None, hi: np.ndarray | None = None, path: str = "", stop: int | None = None):
+        self.text, self.lo, self.hi, self.path = text, lo, hi, path
         self.stop = stop  # where the layer's run ends in the outermost text, if padding stands behind its last character
 
     def place(self, start: int, end: int) -> tuple[int, int]:
@@ -79,6 +97,41 @@ class Layer:
     def key(self) -> tuple:
         return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), self.place(0, len(self.text))
 
+    def spans(self) -> Iterator[Span]:
+        for start, kind, end in matches(self.text):
+            a, b = self.place(start, end)
+            yield a, kind, b
+
+
+class Long:
+    """A content of more than WINDOW characters, read in parts of text from its start whenever it's asked for; all of it stands for one span."""
+
+    __slots__ = ("hi", "kinds", "lo", "parts", "path")
+
+    def __init__(self, parts: Parts, lo: int, hi: int, path: str):
+        self.parts, self.lo, self.hi, self.path = parts, lo, hi, path
+
+    def key(self) -> tuple:
+        """As of a layer; finds out on the way which kinds match."""
+        digest, self.kinds, tail, at = hashlib.sha256(), set(), "", 0
+        for x in self.parts():
+            digest.update(x.encode("utf-8", "surrogatepass"))
+            text, again = MANY.sub(" " * BLANKS, tail + x), 0
+            if LIVE_TEXT.search(text):
+                self.kinds.update(kind for kind, pattern in ((1, ACCESS), (2, HEX)) if kind not in self.kinds and pattern.search(text))
+                for m in () if 0 in self.kinds else ASSIGN.finditer(text, at):
+                    if m.end(2) - m.start(2) >= LEAST_VALUE:
+                        self.kinds.add(0)
+                        break
+                    again = m.end() if m.end() < len(text) else m.start()
+            again = max(again, at)
+            tail = text[-UNTOLD:]
+            at = max(0, again - len(text) + len(tail))
+        return digest.digest(), (self.lo, self.hi)
+
+    def spans(self) -> Iterator[Span]:
+        return ((self.lo, kind, self.hi) for kind in sorted(self.kinds))
+
 
 def matches(text: str) -> Iterator[Span]:
     """(start, kind's number, end) of what counts: per kind leftmost, not overlapping, long enough."""
@@ -104,11 +157,20 @@ def _replaced(layer: Layer, found: list[tuple[int, int, list[tuple[str, int, int
     return Layer("".join([*texts, layer.text[at:]]), np.concatenate([*los, lo[at:]]), np.concatenate([*his, hi[at:]]), f"{layer.path}>{path}")
 
 
+def _bytes_meant(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
+
+
+def _character_meant(m: re.Match) -> str:
+    """The character that an escape stands for, itself if for none."""
+    number = int(m[m.lastindex], 10 if m.lastindex == 6 else 16)
+    return chr(number) if number < 0x110000 and not 0xD800 <= number < 0xE000 else m[0]
+
+
 def _url(layer: Layer) -> Iterator[Layer]:
     found = []
     for m in URL.finditer(layer.text):
-        raw = bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
-        found.append((m.start(), m.end(), [(c, at, at + 3) for c, at in zip(raw, range(m.start(), m.end(), 3), strict=True)]))
+        found.append((m.start(), m.end(), [(c, at, at + 3) for c, at in zip(_bytes_meant(m), range(m.start(), m.end(), 3), strict=True)]))
     if found:
         yield _replaced(layer, found, "url")
 
@@ -116,9 +178,8 @@ def _url(layer: Layer) -> Iterator[Layer]:
 def _unicode(layer: Layer) -> Iterator[Layer]:
     found = []
     for m in ESCAPE.finditer(layer.text):
-        number = int(m[m.lastindex], 10 if m.lastindex == 6 else 16)
-        if number < 0x110000 and not 0xD800 <= number < 0xE000:
-            found.append((m.start(), m.end(), [(chr(number), m.start(), m.end())]))
+        if (c := _character_meant(m)) != m[0]:
+            found.append((m.start(), m.end(), [(c, m.start(), m.end())]))
     if found:
         yield _replaced(layer, found, "unicode")
 
@@ -139,87 +200,163 @@ def _wide(layer: Layer) -> Iterator[Layer]:
                 yield Layer("".join(layer.text[i] for i in mine), lo, hi, f"{layer.path}>{name}")
 
 
-def _fed(stream, data: memoryview) -> Iterator[bytes]:
+def _between(parts: Iterable, start: int, end: int | None = None) -> Iterator:
+    """The parts of a content from one place of it to another."""
+    at = 0
+    for x in parts:
+        if end is not None and at >= end:
+            return
+        if at + len(x) > start and len(x):
+            yield x[max(0, start - at) : None if end is None else end - at]
+        at += len(x)
+
+
+def _held(parts: Iterable, join: bytes | str) -> bytes | str | None:
+    """The parts joined, None if they are too long; they're read to the end anyway."""
+    held, n = [], 0
+    for x in parts:
+        n += len(x)
+        if n > WINDOW:
+            held.clear()
+        else:
+            held.append(x)
+    return join.join(held) if n <= WINDOW else None
+
+
+def _as_bytes(parts: Parts) -> Iterator[bytes]:
+    return (x.encode("latin-1", "replace") for x in parts())
+
+
+def _as_text(parts: Parts) -> Iterator[str]:
+    return (x.decode("latin-1") for x in parts())
+
+
+def _fed(stream, data: bytes | memoryview, taken: int | None = None) -> Iterator[bytes]:
     """What comes out of a decompressor for some bytes, a bounded piece at a time."""
-    part: bytes | memoryview = data
+    part = data
     while True:
-        out = stream.decompress(part, TAKEN)
+        out = stream.decompress(part, taken or TAKEN)
         if out:
             yield out
         part = getattr(stream, "unconsumed_tail", b"")
-        if stream.eof or (len(out) < TAKEN and not part):
+        if stream.eof or not (out or part):  # bzip2 may give less than it could
             return
 
 
-def _length(kind: str, data: memoryview) -> tuple[int, int, bool]:
-    """Of one stream at the start of data: the bytes that can be read, where it ends, and whether it is whole."""
+def _readable(kind: str, parts: Parts, start: int, bad: int, given: int) -> Iterator[bytes]:
+    """Of a stream in which the STEP from bad on can't be read, what comes out behind the first given bytes. Returns where it breaks.
 
-    def fed(stream, a: int, b: int, step: int) -> int:
-        """The first place from a on that can't be read."""
-        for at in range(a, b, step):
-            try:
-                for _ in _fed(stream, data[at : min(at + step, b)]):
-                    pass
-            except BROKEN:
-                return at
-            if stream.eof:
-                return min(at + step, b)
-        return b
-
-    stream = OPEN[kind]()
-    good = fed(stream, 0, len(data), STEP)
-    if good < len(data) and not stream.eof:  # broken in the step from there on; to the byte with a new decompressor
-        stream = OPEN[kind]()
-        fed(stream, 0, good, STEP)
-        good = fed(stream, good, min(good + STEP, len(data)), 1)
-        return good, good, False
-    return good, good - len(stream.unused_data), stream.eof
-
-
-def _content(kind: str, data: memoryview, good: int) -> Iterator[bytes]:
-    stream = OPEN[kind]()
-    for at in range(0, good, STEP):
-        if stream.eof:
+    A call that fails gives nothing of what came out before, so it's read byte by byte, then the output of the last byte is.
+    """
+    for taken in (TAKEN, 1 << 10, 1):
+        stream, n = OPEN[kind](), 0
+        for x in _between(parts(), start, bad):
+            for at in range(0, len(x), STEP):
+                for out in _fed(stream, x[at : at + STEP]):
+                    n += len(out)
+        try:
+            for x in _between(parts(), bad, bad + STEP):
+                for at in range(len(x)):
+                    for out in _fed(stream, x[at : at + 1], taken):
+                        if n + len(out) > given:
+                            yield out[max(0, given - n) :]
+                        n += len(out)
+                        given = max(given, n)
+                    bad += 1
+        except BROKEN:
+            pass
+    return bad
+
+
+def _unpacked(kind: str, parts: Parts, start: int, ends: list | None = None) -> Iterator[bytes]:
+    """The content of the streams that follow each other from a place on, as far as it can be read.
+
+    Ends gets where they end, whether all are whole, and whether more bytes behind the last part could go on with them.
+    """
+    source, at, held = _between(parts(), start), start, memoryview(b"")
+    ends = [] if ends is None else ends
+    ends[:] = start, False, False
+    while True:
+        out_of = False
+        while len(held) < START and not out_of:
+            x = next(source, None)
+            out_of, held = x is None, held if x is None else memoryview(bytes(held) + x) if held else memoryview(x)
+        if not ((m := STREAM.match(held)) and m.lastgroup == kind):
+            ends[2] = out_of
             return
-        yield from _fed(stream, data[at : min(at + STEP, good)])
-
-
-def _windows(parts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
-    """The parts joined, in windows if they are long; whether it is one of several."""
-    held, n, several = [], 0, False
-    for x in parts:
-        held.append(x)
-        n += len(x)
-        if n >= WINDOW:
-            whole = b"".join(held)
-            yield whole, True
-            several, held = True, [whole[-OVERLAP:]]
-            n = len(held[0])
-    if n and not (several and n <= OVERLAP):
-        yield b"".join(held), several
-
-
-def _packed(layer: Layer) -> Iterator[Layer]:
-    """The contents of compressed streams, wherever they start; members that follow each other are one content."""
+        stream, begin, given = OPEN[kind](), at, 0
+        while True:
+            used = 0
+            while used < len(held) and not stream.eof:
+                step = held[used : used + STEP]
+                try:
+                    for out in _fed(stream, step):
+                        given += len(out)
+                        yield out
+                except BROKEN:
+                    good = yield from _readable(kind, parts, begin, at + used, given)
+                    ends[:] = good, False, False
+                    return
+                used += len(step)
+            if stream.eof:
+                used -= len(stream.unused_data)
+            at, held = at + used, held[used:]
+            if stream.eof:
+                break
+            if (x := next(source, None)) is None:
+                ends[:] = at, False, True
+                return
+            held = memoryview(x)
+        ends[:] = at, True, False
+        while kind in PADDED:
+            n = ZEROS.match(held).end()
+            at, held = at + n, held[n:]
+            if held or (x := next(source, None)) is None:
+                break
+            held = memoryview(x)
+
+
+def _streams(data: bytes, begin: int, limit: int, beyond: Parts | None = None, offset: int = 0) -> Iterator[tuple[str, int, int, bool, bytes | None, Parts]]:
+    """The compressed streams that start in data before limit, wherever they do; members that follow each other are one.
+
+    Given as kind, start, end, whether to go on behind it, the content if it isn't long, and the content's parts. One that goes on
+    beyond the data is read there, if they are a part of something longer: from offset on, of which beyond gives all.
+    """
+    view = memoryview(data)
+    while (m := STREAM_START.search(data, begin)) and m.start() < limit:
+        ends: list = []
+        m = STREAM.match(data, m.start())
+        parts = partial(_unpacked, m.lastgroup, partial(iter, [view]), m.start())
+        content = _held(parts(ends), b"")
+        if ends[2] and beyond is not None:
+            start = offset + m.start()
+            parts = partial(_unpacked, m.lastgroup, beyond, start)
+            content = _held(parts(ends), b"")
+            if ends[0] - start <= 4 * WINDOW:  # kept, so that streams in streams aren't read again and again
+                parts = partial(_unpacked, m.lastgroup, partial(iter, [b"".join(_between(beyond(), start, ends[0]))]), 0)
+            ends[0] -= offset
+        begin = max(ends[0], m.start() + 1) if ends[1] else m.start() + 1
+        yield m.lastgroup, m.start(), max(ends[0], m.start() + 1), begin, content, parts
+
+
+def _constant(text: str, lo: int, hi: int, path: str, stop: int | None = None) -> Iterator[Layer]:
+    """A layer that stands for one span, if anything can be found in it."""
+    if LIVE_TEXT.search(text) or STREAM_TEXT.search(text):
+        yield Layer(text, np.broadcast_to(lo, len(text)), np.broadcast_to(hi, len(text)), path, stop)
+
+
+def _packed(layer: Layer) -> Iterator[Layer | Long]:
+    """The contents of compressed streams."""
     if not STREAM_TEXT.search(layer.text):
         return
     data = layer.text.encode("latin-1", "replace")
-    view, begin = memoryview(data), 0
-    while m := STREAM.search(data, begin):
-        kind, at, whole, members = m.lastgroup, m.start(), True, []
-        while whole and (n := STREAM.match(data, at)) and n.lastgroup == kind:
-            good, used, whole = _length(kind, view[at:])
-            members.append((at, good))
-            at += used
-            end = at
-            while whole and kind in ("gzip", "xz") and data[at : at + 1] == b"\0":  # members may be padded
-                at += 1
-        begin = max(end, m.start() + 1) if whole else m.start() + 1
-        lo, hi = layer.place(m.start(), max(end, m.start() + 1))  # a compressed byte depends on all others
+    for kind, start, end, _, content, parts in _streams(data, 0, len(data)):
+        lo, hi = layer.place(start, end)  # a compressed byte depends on all others
         hi = layer.stop if end == len(data) and layer.stop is not None else hi
-        for content, several in _windows(itertools.chain.from_iterable(_content(kind, view[a:], good) for a, good in members)):
-            if LIVE.search(content):
-                yield Layer(content.decode("latin-1"), np.broadcast_to(lo, len(content)), np.broadcast_to(hi, len(content)), f"{layer.path}>{kind}", hi, several)
+        if content is None:
+            yield Long(partial(_as_text, parts), lo, hi, f"{layer.path}>{kind}")
+        else:
+            yield from _constant(content.decode("latin-1"), lo, hi, f"{layer.path}>{kind}", hi)
 
 
 def _runs(layer: Layer) -> Iterator[tuple[str, np.ndarray, int]]:
@@ -243,12 +380,16 @@ def _runs(layer: Layer) -> Iterator[tuple[str, np.ndarray, int]]:
                         yield x[0], np.arange(x.start(), x.end()), m.end() if x.end() == end else x.end()
 
 
+def _decoded(run: str) -> bytes:
+    return base64.b64decode(run[: len(run) - (len(run) % 4 == 1)] + "=" * (-len(run) % 4 % 3))
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
     for run, index, end in _runs(layer):
         run = run.replace("-", "+").replace("_", "/")
         for phase in range(4):
-            data = base64.b64decode(run[phase : len(run) - ((len(run) - phase) % 4 == 1)] + "=" * (-(len(run) - phase) % 4 % 3))
-            if not LIVE.search(data) and not STREAM.search(data):
+            data = _decoded(run[phase:])
+            if not LIVE.search(data) and not STREAM_START.search(data):
                 continue
             at = np.arange(len(data))
             lo, hi = index[phase + at * 4 // 3], index[phase + (at * 4 + 6) // 3 - 1] + 1
@@ -257,23 +398,153 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             yield Layer(data.decode("latin-1"), lo, hi, f"{layer.path}>base64", layer.place(end - 1, end)[1])
 
 
-def _search(top: Layer, found: dict[Span, str], seen: set[tuple]) -> None:
+def _until(parts: Parts, start: int, more: re.Pattern, open_at: Callable[[str, int], bool]) -> int:
+    """Where what goes on by a pattern from a place of a content on ends."""
+    at, held, blanks = start, "", 0
+    for x in _between(parts(), start):
+        held += x
+        n = more.match(held).end()
+        at += n + (blanks if n else 0)
+        if not open_at(held, n):
+            return at
+        held, blanks = held[n:], 0 if n else blanks
+        short = MANY.sub(" " * BLANKS, held)
+        held, blanks = short, blanks + len(held) - len(short)
+    return at
+
+
+def _meant(parts: Parts, pattern: re.Pattern, meant: Callable[[re.Match], str]) -> Iterator[str]:
+    """The parts with escapes replaced, which are of up to 10 characters."""
+    held = ""
+    for x in parts():
+        held += x
+        m = re.compile(r"[%\\&]").search(held, max(0, len(held) - 10))
+        cut = m.start() if m else len(held)
+        yield pattern.sub(meant, held[:cut])
+        held = held[cut:]
+    yield pattern.sub(meant, held)
+
+
+def _run_parts(parts: Parts, start: int, end: int, phase: int) -> Iterator[str]:
+    """What a base64 run of a content decodes to from one of its first four characters on."""
+    held, run, skip = "", "", phase
+    for x in _between(parts(), start, end):
+        held = re.sub(r"[ \t\r\n]", "", held + x)
+        m = re.search(r"(?:\\(?:r\\?)?)?\Z", held)
+        chars, held = re.sub(r"\\r\\n|\\n", "", held[: m.start()]), held[m.start() :]
+        run += chars[skip:].replace("-", "+").replace("_", "/")
+        skip = max(0, skip - len(chars))
+        n = len(run) // 4 * 4
+        yield _decoded(run[:n]).decode("latin-1")
+        run = run[n:]
+    yield _decoded(run).decode("latin-1")
+
+
+def _every(parts: Parts, start: int, end: int, step: int) -> Iterator[str]:
+    at = start
+    for x in _between(parts(), start, end):
+        yield x[(start - at) % step :: step]
+        at += len(x)
+
+
+def _windows(parts: Iterable[str]) -> Iterator[tuple[str, int, bool]]:
+    """The parts joined in windows, where each starts, and whether it's the last."""
+    held, n, at = [], 0, 0
+    for x in parts:
+        if n >= WINDOW:
+            whole = "".join(held)
+            yield whole, at, False
+            held = [whole[-OVERLAP:]]
+            at += n - OVERLAP
+            n = OVERLAP
+        held.append(x)
+        n += len(x)
+    yield "".join(held), at, True
+
+
+def _inside(long: Long) -> Iterator[Layer | Long]:
+    """All layers of a long content. What starts in a window's last OVERLAP is left to the next one, which has more of it."""
+    escapes, begin = {}, dict.fromkeys(["packed", *(name for name, _, _ in WIDE), *RUNS], 0)
+
+    def inner(parts: Parts, path: str) -> Iterator[Layer | Long]:
+        text = _held(parts(), "")
+        if text is None:
+            yield Long(parts, long.lo, long.hi, f"{long.path}>{path}")
+        else:
+            yield from _constant(text, long.lo, long.hi, f"{long.path}>{path}")
+
+    for text, at, last in _windows(long.parts()):
+        limit = len(text) if last else len(text) - OVERLAP
+        first = lambda name: max(0, begin[name] - at)  # noqa: B023, E731
+        if STREAM_TEXT.search(text, first("packed")):
+            for kind, _, _, behind, content, parts in _streams(text.encode("latin-1", "replace"), first("packed"), limit, None if last else partial(_as_bytes, long.parts), at):
+                begin["packed"] = at + behind
+                if content is None:
+                    yield Long(partial(_as_text, parts), long.lo, long.hi, f"{long.path}>{kind}")
+                else:
+                    yield from _constant(content.decode("latin-1"), long.lo, long.hi, f"{long.path}>{kind}")
+        for name, pattern, meant in (("url", URL, _bytes_meant), ("unicode", ESCAPE, _character_meant)):
+            if name not in escapes and any(meant(m) != m[0] for m in pattern.finditer(text)):
+                escapes[name] = partial(_meant, long.parts, pattern, meant)
+        if not LIVE_TEXT.search(text):
+            continue
+        for name, zeros, pattern in WIDE if "\0" in text else ():
+            while (m := pattern.search(text, first(name))) and m.start() < limit:
+                start, low = at + m.start() + zeros * (m[0][0] == "\0"), m[0][0] != "\0"
+                end = at + m.end()
+                if not last and m.end() + zeros >= len(text):
+                    units = re.compile(rf"(?:{ASCII}\0{{{zeros}}})*+")
+                    end = _until(long.parts, start, units, lambda held, n, zeros=zeros: len(held) - n <= zeros)
+                    end += bool(re.match(ASCII, "".join(_between(long.parts(), end, end + 1))))
+                begin[name] = end
+                odd = low and (end - start) % (zeros + 1) == 1  # a character at both ends, as above
+                for a, b in ((start, end - 1), (start + zeros + 1, end)) if odd else ((start, end),):
+                    if end <= at + len(text):
+                        yield from _constant(text[a - at : b - at : zeros + 1], long.lo, long.hi, f"{long.path}>{name}")
+                    else:
+                        yield from inner(partial(_every, long.parts, a, b, zeros + 1), name)
+        for name, (pattern, more) in RUNS.items():
+            while (m := pattern.search(text, first(name))) and m.start() < limit:
+                start, n = at + m.start(), m.start() + len(m[0].rstrip("="))
+                open_at = (lambda held, n: bool(UNDONE.match(held, n))) if name == "run" else (lambda held, n: n == len(held))
+                if not last and open_at(text, n):
+                    end = _until(long.parts, start, more, open_at)
+                    begin[name] = max(end, start + 1)
+                    for phase in range(4):
+                        yield from inner(partial(_run_parts, long.parts, start, end, phase), "base64")
+                    continue
+                begin[name] = at + m.end()
+                run = text[m.start() : n]
+                if name == "run":
+                    if run == (run := BREAK.sub("", run)) or len(run) < LEAST_RUN:
+                        continue
+                elif name == "piece" and not {text[m.start() - 1 : m.start()] if m.start() else "/", text[n : n + 1]} & set("/_-"):
+                    continue
+                run = run.replace("-", "+").replace("_", "/")
+                for phase in range(4):
+                    yield from _constant(_decoded(run[phase:]).decode("latin-1"), long.lo, long.hi, f"{long.path}>base64")
+    for name, parts in escapes.items():
+        yield from inner(parts, name)
+
+
+def _search(top: Layer | Long, found: dict[Span, str], seen: set[tuple]) -> None:
     """Add the spans of the layers in top."""
     work = deque([top])
     while work:
         layer = work.popleft()
-        for unwrap in (_url, _unicode, _wide, _packed, _base64):
-            for inner in unwrap(layer):
-                if not inner.text or (key := inner.key()) in seen:
-                    continue
-                seen.add(key)
-                for start, kind, end in matches(inner.text):
-                    a, b = inner.place(start, end)
-                    found.setdefault((a, kind, b), inner.path[1:])
-                if inner.window:  # not kept for later, as there may be very many
-                    _search(inner, found, seen)
-                else:
-                    work.append(inner)
+        long = isinstance(layer, Long)
+        for inner in _inside(layer) if long else (x for unwrap in (_url, _unicode, _wide, _packed, _base64) for x in unwrap(layer)):
+            if long and all((layer.lo, kind, layer.hi) in found for kind in range(len(KINDS))):
+                break  # there is no other span in it
+            if (key := inner.key()) in seen:
+                continue
+            seen.add(key)
+            for span in inner.spans():
+                found.setdefault(span, inner.path[1:])
+            if long:  # not kept for later, as there may be very many
+                _search(inner, found, seen)
+            else:
+                work.append(inner)
 
 
 def scan(text: str) -> tuple[list[Span], dict[Span, str]]:

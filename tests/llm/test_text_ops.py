@@ -524,6 +524,41 @@ def test_secret_streams_that_expand(monkeypatch):
         tracemalloc.stop()
 
 
+def test_secret_streams_in_streams(monkeypatch):
+    """Streams without text around them in streams, of all window sizes, and what is cut by windows as if it weren't."""
+    inner = "api_key = ABCDEFGHIJKLMNOP1234"
+
+    def narrow(data, bits=9):
+        packer = zlib.compressobj(6, zlib.DEFLATED, bits)
+        return packer.compress(data) + packer.flush()
+
+    packs = (gzip.compress, zlib.compress, narrow, bz2.compress, lzma.compress)
+    for pack in packs:
+        for again in packs:
+            assert _found_in(base64.b64encode(again(pack(inner.encode()))).decode(), inner), (pack, again)
+            assert _found_in(base64.b64encode(pack(again(pack(inner.encode())))).decode(), inner), (pack, again)
+    for bits in range(9, 16):
+        assert _found_in(base64.b64encode(narrow(inner.encode(), bits)).decode(), inner), bits
+
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choices("GHJKLMNPQRSTUVWXYZ .", k=n)).encode()
+    forms = [lambda x: x, base64.b64encode, base64.encodebytes, lambda x: base64.encodebytes(x).replace(b"\n", b"\\n"), lambda x: b"".join(b"%%%02x" % c for c in x)]
+    forms += [lambda x: b"".join(b"\\u%04x" % c for c in x), lambda x: base64.b64encode(x).decode().encode("utf-16-le"), lambda x: base64.b64encode(x).decode().encode("utf-32-be")]
+    for form in forms:
+        for pack in (gzip.compress, zlib.compress, narrow, bz2.compress, lzma.compress):
+            for x in (pack(noise(6000) + inner.encode() + b" ."), gzip.compress(noise(3000) + inner[:9].encode()) + gzip.compress(inner[9:].encode() + noise(20))):
+                text = base64.b64encode(gzip.compress(noise(3000) + b"\n" + form(x) + b"\n" + noise(9000))).decode()
+                whole = set(secrets.scan(text)[1])
+                assert (0, 0, len(text)) in whole
+                with monkeypatch.context() as m:
+                    m.setattr(secrets, "WINDOW", 4096)
+                    m.setattr(secrets, "OVERLAP", 512)
+                    m.setattr(secrets, "TAKEN", 1000)
+                    assert set(secrets.scan(text)[1]) == whole
+    text = base64.b64encode(bz2.compress(inner.encode() + noise(500))[:-10]).decode()  # all of the block, not the end of the stream
+    assert _found_in(text, inner)
+
+
 def test_secret_frames(hard, none):
     out = secrets.secret_spans(hard).collect()
     assert len(out) == hard.count()
